@@ -161,3 +161,14 @@ def ordered(
         ahead = F.coalesce(F.lead(here).over(inside), F.col("_next"))
         out += [ahead[n].alias(n) for n in nxt]
     return joined.select(*out)
+
+
+def numbered(
+    rows: DataFrame, key: str, seed: int, name: str = "_place", buckets: int = 4096
+) -> DataFrame:
+    """Number the rows from 1 in a seeded hash order of ``key``, bucket by bucket."""
+    mixed = rows.withColumn("_mix", F.xxhash64(F.lit(seed), F.col(key)))
+    mixed = mixed.withColumn("_bucket", F.pmod(F.col("_mix"), F.lit(buckets)))
+    return ordered(
+        mixed, [], F.col("_bucket"), ["_bucket", "_mix", key], running={name: F.lit(1)}
+    ).drop("_mix", "_bucket")

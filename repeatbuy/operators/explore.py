@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,13 +135,12 @@ def quartiles(rows: DataFrame, key: str, value: str, pieces: int = 200) -> DataF
 
     Values are counted per (key, value), then numbered in chunks cut at approximate quantiles.
     """
-    cuts = rows.agg(
-        F.percentile_approx(value, [i / pieces for i in range(1, pieces)], 10_000)
-    ).scalar()
     counts = rows.groupBy(key, value).agg(F.count("*").alias("_n"))
-    chunk = F.size(F.filter(cuts, lambda c: c < F.col(value)))
+    cut = QuantileDiscretizer(
+        numBuckets=pieces, inputCol=value, outputCol="_piece", relativeError=0.2 / pieces
+    ).fit(counts)
     placed = ordered(
-        counts, [key], chunk, [value],
+        cut.transform(counts), [key], F.col("_piece"), [value],
         running={"_upto": F.col("_n")}, total={"_all": F.col("_n")},
     )
 

@@ -19,6 +19,7 @@ from repeatbuy.functions.expr import ratio, share
 from repeatbuy.functions.fixed import CLASS_GROUPS, ITEM, Grain
 from repeatbuy.functions.skew import Sizes, attach, ordered
 from repeatbuy.operators.holdout import gap_lines
+from repeatbuy.operators.outliers import ksigma_filter
 from repeatbuy.operators.timeline import last_per_group
 
 # --- customer ------------------------------------------------------------------------------
@@ -39,12 +40,23 @@ def user_totals(history: DataFrame, grain: Grain) -> DataFrame:
     )
 
 
-def days_between_orders(baskets: DataFrame, level: int) -> DataFrame:
-    """Mean gap between the baskets of the history; customers with one basket drop out."""
-    kept = baskets.filter(
-        (F.col("from_last") > level) & F.col("days_since_prior_order").isNotNull()
+def ksigma_cart_size(history: DataFrame, ksigma: float) -> DataFrame:
+    """Mean basket size without the customer's unusually large baskets."""
+    baskets = history.groupBy("cid", "bid").agg(F.count("*").alias("_size"))
+    return ksigma_filter(baskets, ["cid"], "_size", ksigma).groupBy("cid").agg(
+        F.avg("_size").alias("user_avg_cart_size")
     )
-    return kept.groupBy("cid").agg(F.avg("days_since_prior_order").alias("days_between_orders"))
+
+
+def days_between_orders(
+    baskets: DataFrame, level: int, ksigma: float | None = None
+) -> DataFrame:
+    """Mean gap between the baskets of the history; customers with one basket drop out."""
+    gap = "days_since_prior_order"
+    kept = baskets.filter((F.col("from_last") > level) & F.col(gap).isNotNull())
+    if ksigma is not None:
+        kept = ksigma_filter(kept.select("cid", gap), ["cid"], gap, ksigma)
+    return kept.groupBy("cid").agg(F.avg(gap).alias("days_between_orders"))
 
 
 def user_variety(history: DataFrame, key: str, flag: str, plural: str) -> DataFrame:
@@ -59,13 +71,18 @@ def user_variety(history: DataFrame, key: str, flag: str, plural: str) -> DataFr
     )
 
 
-def user_features(lines: DataFrame, baskets: DataFrame, grain: Grain, level: int) -> DataFrame:
+def user_features(
+    lines: DataFrame, baskets: DataFrame, grain: Grain, level: int, ksigma: float | None = None
+) -> DataFrame:
     """All customer features. Customers with one basket or no re-order are not in the table."""
     history = lines.filter(F.col("from_last") > level)
+    totals = user_totals(history, grain)
+    if ksigma is not None:
+        totals = totals.drop("user_avg_cart_size").join(ksigma_cart_size(history, ksigma), "cid")
     out = (
         user_reorder_rate(history, grain)
-        .join(user_totals(history, grain), "cid")
-        .join(days_between_orders(baskets, level), "cid")
+        .join(totals, "cid")
+        .join(days_between_orders(baskets, level, ksigma), "cid")
     )
     varieties = [("catid", "cats"), ("classid", "classes")]
     if grain == ITEM:
@@ -124,6 +141,7 @@ def reduced_class_features(
     )
     als = ALS(
         rank=rank, maxIter=rounds, regParam=1e-6, nonnegative=True, seed=seed,
+        numUserBlocks=1, numItemBlocks=1,  # at most 2^groups x groups cells
         userCol="_pattern", itemCol="_flag", ratingCol="_value",
     )
     factors = als.fit(triples).userFactors.select(

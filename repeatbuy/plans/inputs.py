@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,14 +28,17 @@ def _labels(orders: Orders, grain: Grain, level: int) -> DataFrame:
     return stage(holdout.label_set(orders.lines, grain, level, context=True), "labels")
 
 
-def _users(orders: Orders, grain: Grain, level: int) -> DataFrame:
+def _users(
+    orders: Orders, grain: Grain, level: int, ksigma: float | None = None
+) -> DataFrame:
     """Customer features and the share of the label basket's gap, one row per customer."""
     share = (
         orders.lines.filter(F.col("from_last") > level)
         .groupBy("cid")
         .agg(features.label_gap_share(level).alias(features.GAP_NAMES[("cid",)]))
     )
-    return features.user_features(orders.lines, orders.baskets, grain, level).join(share, "cid")
+    users = features.user_features(orders.lines, orders.baskets, grain, level, ksigma)
+    return users.join(share, "cid")
 
 
 def _by_class(orders: Orders, level: int) -> DataFrame:
@@ -56,9 +59,9 @@ def _time(orders: Orders, level: int, keys: list[str]):
 
 
 def model_input_item(
-    orders: Orders, level: int, groups: Mapping[str, list] | None = None
+    orders: Orders, level: int, reduced: DataFrame | None = None
 ) -> DataFrame:
-    """Item-grain model table of one holdout level; ``groups`` adds the reduced class features.
+    """Item-grain model table of one holdout level; ``reduced`` adds the class factors.
 
     Inner joins define the population: customers without features leave with all their labels.
     """
@@ -79,8 +82,7 @@ def model_input_item(
         (features.cat_reorder_rate(history), ["catid"], "inner"),
         *_time(orders, level, ["iid", "catid", "classid"]),
     ]
-    if groups:
-        reduced = features.reduced_class_features(lines, "iid", groups)
+    if reduced is not None:
         tables.append((reduced, ["iid"], "left"))
     labels = _labels(orders, ITEM, level)
     out = _join_all(labels, tables, Sizes(labels, staged=True))
@@ -95,7 +97,7 @@ def model_input_item(
 
 
 def _category(orders: Orders, level: int, zero_days: str, ksigma: float | None,
-              groups: Mapping[str, list] | None, intervals: bool) -> DataFrame:
+              reduced: DataFrame | None, intervals: bool) -> DataFrame:
     lines = orders.lines
     history = lines.filter(F.col("from_last") > level)
     gapped = at_level(orders.gapped, level)
@@ -118,14 +120,13 @@ def _category(orders: Orders, level: int, zero_days: str, ksigma: float | None,
         pair_days = price.days_between_user_cat_orders(gapped, ksigma)
         pairs = pairs.join(zero_to_one(pair_days, ["days_between_user_cat_orders"]), pair)
     tables = [
-        (_users(orders, CATEGORY, level), ["cid"], "inner"),
+        (_users(orders, CATEGORY, level, ksigma), ["cid"], "inner"),
         (pairs, pair, "inner"),
         (_by_class(orders, level), ["cid", "classid"], "inner"),
         (cats, ["catid"], "inner"),
         *_time(orders, level, ["catid", "classid"]),
     ]
-    if groups:
-        reduced = features.reduced_class_features(lines, "catid", groups)
+    if reduced is not None:
         tables.append((reduced, ["catid"], "left"))
     labels = _labels(orders, CATEGORY, level)
     out = _join_all(labels, tables, Sizes(labels, staged=True))
@@ -135,30 +136,43 @@ def _category(orders: Orders, level: int, zero_days: str, ksigma: float | None,
 
 
 def model_input_category(
-    orders: Orders, level: int, groups: Mapping[str, list] | None = None
+    orders: Orders, level: int, reduced: DataFrame | None = None
 ) -> DataFrame:
     """Category-grain model table of one holdout level."""
-    return _fill_zero(_category(orders, level, "null", None, groups, intervals=False))
-
+    return _fill_zero(_category(orders, level, "null", None, reduced, intervals=False))
 
-def model_input_stacked(
-    orders: Orders, ksigma: float | None = None, otli: int | None = None,
-    constant: bool = False, groups: Mapping[str, list] | None = None,
-) -> DataFrame:
-    """Two training holdouts stacked, and the test holdout, with interval and ratio features.
 
-    ``split`` tells them apart. ``otli`` cuts rows whose label basket came after a longer gap.
-    """
+def stacked_frames(
+    orders: Orders, ksigma: float | None = None, reduced: DataFrame | None = None
+) -> dict[int, DataFrame]:
+    """Label rows with interval features of the test (1) and both training holdouts (2, 3)."""
     frames = {}
     for level in (1, 2, 3):
-        rows = _category(orders, level, "one", ksigma, groups, intervals=True)
+        rows = _category(orders, level, "one", ksigma, reduced, intervals=True)
         frames[level] = stage(zero_to_one(rows, ["days_between_orders"]), "holdout")
+    return frames
+
+
+def stack(
+    frames: Mapping[int, DataFrame], otli: int | None = None, constant: bool = False
+) -> DataFrame:
+    """Holdouts under one another, unknown prices and intervals filled, ratios added.
+
+    ``split`` tells train from test. ``otli`` cuts rows whose label basket came after a longer gap.
+    """
     usual = frames[2].agg(F.avg("ave_price_day_ratio")).scalar()
-    both = (
-        frames[1].withColumn("split", F.lit("test"))
-        .unionByName(frames[2].withColumn("split", F.lit("train")))
-        .unionByName(frames[3].withColumn("split", F.lit("train")))
-        .withColumn("train_price_day_ratio", usual)
-    )
+    parts = [
+        frames[level].withColumn("split", F.lit("test" if level == 1 else "train"))
+        for level in sorted(frames)
+    ]
+    both = reduce(DataFrame.unionByName, parts).withColumn("train_price_day_ratio", usual)
     out = price.ratio_features(price.fill_hierarchical(both, constant))
     return out if otli is None else gap_cutoff(out, otli)
+
+
+def model_input_stacked(
+    orders: Orders, ksigma: float | None = None, otli: int | None = None,
+    constant: bool = False, reduced: DataFrame | None = None,
+) -> DataFrame:
+    """Two training holdouts stacked, and the test holdout, with interval and ratio features."""
+    return stack(stacked_frames(orders, ksigma, reduced), otli, constant)

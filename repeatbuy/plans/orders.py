@@ -42,10 +42,14 @@ def item_lines(
     return popular_lines(valid, min_orders, rare_class, staged=True)
 
 
+def rolled_lines(raw: DataFrame, min_price: float = 300) -> DataFrame:
+    return clean.category_rollup(valid_lines(raw, min_price))
+
+
 def category_lines(
     raw: DataFrame, min_price: float = 300, min_orders: int = 2, rare_class: int = 25,
 ) -> DataFrame:
-    rolled = stage(clean.category_rollup(valid_lines(raw, min_price)), "rolled")
+    rolled = stage(rolled_lines(raw, min_price), "rolled")
     return popular_lines(rolled, min_orders, rare_class, staged=True)
 
 
