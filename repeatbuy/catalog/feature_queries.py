@@ -154,39 +154,42 @@ def _(ws):
 
 @query("f19_max_streak")
 def _(ws):
-    return features.max_streak(history(ws, "item"), ["cid", "iid"], "max_streak")
+    return features.max_streak(ws.item.walks["iid"], ["cid", "iid"], 1, "max_streak")
 
 
 @query("f19_max_streak_cat_item")
 def _(ws):
-    return features.max_streak(history(ws, "item"), ["cid", "catid"], "max_streak_cat")
+    return features.max_streak(ws.item.walks["catid"], ["cid", "catid"], 1, "max_streak_cat")
 
 
 @query("f19_max_streak_cat_cat")
 def _(ws):
-    return features.max_streak(history(ws, "cat"), ["cid", "catid"], "max_streak_cat")
+    return features.max_streak(ws.category.walks["catid"], ["cid", "catid"], 1, "max_streak_cat")
 
 
 @query("f19_max_streak_class_open")
 def _(ws):
+    walk = features.streak_walk(ws.category.lines, ["cid", "classid"])
     return features.max_streak(
-        history(ws, "cat"), ["cid", "classid"], "max_streak_class", include_open=True
+        walk, ["cid", "classid"], 1, "max_streak_class", include_open=True
     )
 
 
 @query("f20_user_product_features")
 def _(ws):
-    return features.user_product_features(ws.item.lines, 1)
+    return features.user_product_features(ws.item.lines, ws.item.walks["iid"], 1)
 
 
 @query("f21_user_cat_features_item")
 def _(ws):
-    return features.user_cat_features(ws.item.lines, 1, by_class=False)
+    return features.user_cat_features(
+        ws.item.lines, ws.item.walks["catid"], 1, by_class=False
+    )
 
 
 @query("f21_user_cat_features_cat")
 def _(ws):
-    return features.user_cat_features(ws.category.lines, 1)
+    return features.user_cat_features(ws.category.lines, ws.category.walks["catid"], 1)
 
 
 @query("f22_product_week_reorder_rate")

@@ -16,7 +16,7 @@ SQL: dict[str, str] = {}
 
 
 def rnd(expr: str, name: str | None = None) -> str:
-    return f"round({expr}, 6) AS {name or expr}"
+    return f"floor(CAST({expr} AS DOUBLE) * 1e6 + 0.5) / 1e6 AS {name or expr}"
 
 
 def div(a: str, b: str) -> str:
@@ -448,7 +448,7 @@ JOIN (SELECT cid, count(DISTINCT bid) AS baskets, max(segmentationlabel) AS segm
 WHERE segmentationlabel IN ({_segments})""")
 SQL["e13_cart_cost_by_segment"] = with_([LINES, """cost AS (
   SELECT max(segmentationlabel) AS segmentationlabel,
-         round(round(sum(price), 2) / count(DISTINCT bid), 6) AS cost FROM lines GROUP BY cid)""",
+         round(sum(price), 2) / count(DISTINCT bid) AS cost FROM lines GROUP BY cid)""",
     """box AS (SELECT segmentationlabel, count(*) AS customers, quantile_cont(cost, 0.25) AS q1,
          quantile_cont(cost, 0.5) AS q2, quantile_cont(cost, 0.75) AS q3 FROM cost GROUP BY ALL)"""], f"""
 SELECT segmentationlabel, customers, {rnd('q1')}, {rnd('q2')}, {rnd('q3')},

@@ -472,12 +472,12 @@ _PER = """per AS (SELECT k, coalesce(tp / nullif(said, 0), 0) AS p_, coalesce(tp
 SQL["v05_classification_report"] = with_(_SCORED + [_PER], f"""
 SELECT CAST(k AS VARCHAR) AS label, {rnd('p_', 'precision')}, {rnd('r_', 'recall')}, {rnd('f_', 'f1')},
        sup AS support FROM per
-UNION ALL SELECT 'accuracy', round(sum(tp) / sum(sup), 6), round(sum(tp) / sum(sup), 6),
-       round(sum(tp) / sum(sup), 6), CAST(sum(sup) AS BIGINT) FROM per
-UNION ALL SELECT 'macro avg', round(avg(p_), 6), round(avg(r_), 6), round(avg(f_), 6),
+UNION ALL SELECT 'accuracy', {rnd('sum(tp) / sum(sup)', 'x')}, {rnd('sum(tp) / sum(sup)', 'x')},
+       {rnd('sum(tp) / sum(sup)', 'x')}, CAST(sum(sup) AS BIGINT) FROM per
+UNION ALL SELECT 'macro avg', {rnd('avg(p_)', 'x')}, {rnd('avg(r_)', 'x')}, {rnd('avg(f_)', 'x')},
        CAST(sum(sup) AS BIGINT) FROM per
-UNION ALL SELECT 'weighted avg', round(sum(p_ * sup) / sum(sup), 6), round(sum(r_ * sup) / sum(sup), 6),
-       round(sum(f_ * sup) / sum(sup), 6), CAST(sum(sup) AS BIGINT) FROM per""")
+UNION ALL SELECT 'weighted avg', {rnd('sum(p_ * sup) / sum(sup)', 'x')}, {rnd('sum(r_ * sup) / sum(sup)', 'x')},
+       {rnd('sum(f_ * sup) / sum(sup)', 'x')}, CAST(sum(sup) AS BIGINT) FROM per""")
 _TARGETS = ", ".join(f"(CAST({r!r} AS DOUBLE))" for r in RECALLS)
 SQL["v08_precision_at_recall"] = with_(_SCORED + [
     "steps AS (SELECT CASE WHEN i = 0 THEN -1e-7 WHEN i = 199 THEN 1 + 1e-7 ELSE i / 199 END AS t "

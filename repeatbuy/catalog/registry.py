@@ -11,8 +11,9 @@ from repeatbuy.plans.workspace import Workspace, workspace
 
 QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {}
 
-# Digits kept of computed numbers, so that the order of a sum does not show.
-DIGITS = 6
+# Computed numbers are rounded to millionths, so that the order of a sum does not show. Floor of
+# x + 1/2 is plain double arithmetic, so halves come out alike in any engine.
+SCALE = 1e6
 
 
 def query(name: str):
@@ -23,9 +24,12 @@ def query(name: str):
     return register
 
 
-def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+def rounded(df: DataFrame) -> DataFrame:
     return df.select(
-        *[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+        *[
+            (F.floor(F.col(c) * SCALE + 0.5) / SCALE).alias(c) if t == "double" else F.col(c)
+            for c, t in df.dtypes
+        ]
     )
 
 

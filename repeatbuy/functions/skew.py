@@ -122,7 +122,9 @@ def ordered(
     """
     running, total, prev, nxt = (dict(m or {}) for m in (running, total, prev, nxt))
     rank = F.struct(*order)
-    rows = df.withColumn("_chunk", chunk)
+    # Rows and their summary are joined on keys and chunk. Saying up front that these are known
+    # keeps both sides of the plan alike, so the shuffle below them is done once.
+    rows = df.withColumn("_chunk", chunk).dropna(subset=[*keys, "_chunk"])
 
     summary = [F.sum(c).alias(f"_sum_{n}") for n, c in {**total, **running}.items()]
     if prev:

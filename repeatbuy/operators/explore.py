@@ -167,7 +167,7 @@ def cart_cost_by_segment(lines: DataFrame) -> DataFrame:
         F.max("segmentationlabel").alias("segmentationlabel"),
     )
     cost = spend.join(basket_count(lines), "cid").select(
-        "segmentationlabel", F.round(ratio("_spend", "baskets"), 6).alias("cost")
+        "segmentationlabel", ratio("_spend", "baskets").alias("cost")
     )
     boxes = quartiles(cost, "segmentationlabel", "cost")
     reach = (F.col("q3") - F.col("q1")) * 1.5

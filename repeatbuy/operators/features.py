@@ -72,20 +72,29 @@ def user_variety(history: DataFrame, key: str, flag: str, plural: str) -> DataFr
 
 
 def user_features(
-    lines: DataFrame, baskets: DataFrame, grain: Grain, level: int, ksigma: float | None = None
+    lines: DataFrame, baskets: DataFrame, grain: Grain, level: int,
+    ksigma: float | None = None, gap_share: bool = False,
 ) -> DataFrame:
-    """All customer features. Customers with one basket or no re-order are not in the table."""
+    """All customer features. Customers with one basket or no re-order are not in the table.
+
+    ``gap_share`` adds the share of the customer's lines bought after the label basket's gap.
+    """
     history = lines.filter(F.col("from_last") > level)
-    totals = user_totals(history, grain)
+    item = grain == ITEM
+    total = "user_total_products" if item else "user_total_cats"
+    columns = [
+        F.avg(grain.flag).alias("user_reorder_rate" if item else "user_cat_reorder_rate"),
+        F.count("*").alias(total),
+        ratio(F.count("*"), F.max("order_number")).alias("user_avg_cart_size"),
+    ]
+    if gap_share:
+        columns.append(label_gap_share(level).alias(GAP_NAMES[("cid",)]))
+    out = history.groupBy("cid").agg(*columns)
     if ksigma is not None:
-        totals = totals.drop("user_avg_cart_size").join(ksigma_cart_size(history, ksigma), "cid")
-    out = (
-        user_reorder_rate(history, grain)
-        .join(totals, "cid")
-        .join(days_between_orders(baskets, level, ksigma), "cid")
-    )
+        out = out.drop("user_avg_cart_size").join(ksigma_cart_size(history, ksigma), "cid")
+    out = out.join(days_between_orders(baskets, level, ksigma), "cid")
     varieties = [("catid", "cats"), ("classid", "classes")]
-    if grain == ITEM:
+    if item:
         varieties.insert(0, ("iid", "products"))
     for key, plural in varieties:
         variety = user_variety(history, key, grain.flag, plural)
@@ -188,47 +197,66 @@ def orders_since_last(lines: DataFrame, key: str, level: int) -> DataFrame:
 STREAK_CHUNK = 4096
 
 
-def max_streak(
-    purchases: DataFrame, keys: list[str], name: str, include_open: bool = False
-) -> DataFrame:
-    """Longest run of consecutive order numbers, counted in steps.
+def streak_walk(purchases: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct orders of every key, numbered, each with the order that follows.
 
-    A repeated order number breaks a run. The run that reaches the last purchase is only counted
-    with ``include_open``.
+    ``run`` and ``repeats`` together tell the runs of consecutive order numbers apart; a repeated
+    order number ends one run and starts the next. One walk over all orders serves every holdout
+    level, because a level only cuts orders off at the end.
     """
-    orders = purchases.groupBy(*keys, "order_number").agg(F.count("*").alias("_lines"))
+    orders = purchases.groupBy(*keys, "order_number").agg(
+        F.count("*").alias("_lines"), F.max("from_last").alias("from_last")
+    )
     repeat = F.when(F.col("_lines") > 1, 1).otherwise(0)
     walked = ordered(
         orders, keys, F.floor(F.col("order_number") / STREAK_CHUNK), ["order_number"],
-        running={"_pos": F.lit(1), "_repeats": repeat},
-        total={"_size": F.lit(1)},
-        nxt={"_next": F.col("order_number"), "_next_lines": F.col("_lines")},
+        running={"_place": F.lit(1), "repeats": repeat},
+        nxt={"next_order": F.col("order_number"), "next_from_last": F.col("from_last")},
+    )
+    return walked.select(
+        *keys, "order_number", "from_last", "next_order", "next_from_last", "repeats",
+        (F.col("order_number") - F.col("_place")).alias("run"),
     )
-    step = F.col("_next") - F.col("order_number") == 1
-    last_step = step & (F.col("_pos") + 1 == F.col("_size")) & (F.col("_next_lines") == 1)
+
+
+def max_streak(
+    walk: DataFrame, keys: list[str], level: int, name: str, include_open: bool = False
+) -> DataFrame:
+    """Longest run of consecutive order numbers in the history of a level, counted in steps.
+
+    The run that reaches the last purchase is only counted with ``include_open``.
+    """
+    goes_on = F.coalesce(F.col("next_from_last") > level, F.lit(False))
+    step = goes_on & (F.col("next_order") - F.col("order_number") == 1)
     runs = (
-        walked.groupBy(*keys, (F.col("order_number") - F.col("_pos")).alias("_island"), "_repeats")
-        .agg(F.count_if(step).alias("_steps"), F.max(last_step).alias("_open"))
+        walk.filter(F.col("from_last") > level)
+        .groupBy(*keys, "run", "repeats")
+        .agg(F.count_if(step).alias("_steps"), F.max(~goes_on).alias("_open"))
     )
-    counted = F.col("_steps") if include_open else F.when(
-        F.coalesce(F.col("_open"), F.lit(False)), 0
-    ).otherwise(F.col("_steps"))
+    steps = F.col("_steps")
+    counted = steps if include_open else F.when(F.col("_open"), 0).otherwise(steps)
     return runs.groupBy(*keys).agg(F.max(counted).alias(name))
 
 
-def pair_summary(lines: DataFrame, key: str, flag: str, level: int) -> DataFrame:
-    """Everything a plain group-by gives about (customer, key) in the history of a level.
+def pair_columns(key: str, flag: str, level: int) -> list[Column]:
+    """Aggregates over the history lines of a (customer, key).
 
     The gap share is taken at the gap before the customer's label basket, the only one the
     label rows look up, so no (key, gap) table has to be joined for it.
     """
     prefix = RATE_NAMES[key]
-    return lines.filter(F.col("from_last") > level).groupBy("cid", key).agg(
+    return [
         F.count("*").alias(f"{prefix}_lines"),
         F.avg(flag).alias(f"{prefix}_reorder_rate"),
         (F.min("from_last") - F.lit(level + 1)).alias(f"{prefix}_orders_since_last"),
         label_gap_share(level).alias(GAP_NAMES[("cid", key)]),
-    )
+    ]
+
+
+def pair_summary(lines: DataFrame, key: str, flag: str, level: int) -> DataFrame:
+    """Everything a plain group-by gives about (customer, key) in the history of a level."""
+    history = lines.filter(F.col("from_last") > level)
+    return history.groupBy("cid", key).agg(*pair_columns(key, flag, level))
 
 
 def label_gap_share(level: int) -> Column:
@@ -237,12 +265,13 @@ def label_gap_share(level: int) -> Column:
     return ratio(F.count_if(gap == F.col(f"label_gap_{level}")), F.count(gap))
 
 
-def user_product_features(lines: DataFrame, level: int) -> DataFrame:
-    """Pair features at item grain; since-last of the item's category and class come by key."""
+def user_product_features(lines: DataFrame, walk: DataFrame, level: int) -> DataFrame:
+    """Pair features at item grain; ``walk`` is the streak walk of (customer, item); 
+    since-last of the item's category and class come by key."""
     history = lines.filter(F.col("from_last") > level)
     out = (
         pair_summary(lines, "iid", "reordered", level)
-        .join(max_streak(history, ["cid", "iid"], "max_streak"), ["cid", "iid"])
+        .join(max_streak(walk, ["cid", "iid"], level, "max_streak"), ["cid", "iid"])
         .join(last_per_group(history, ["cid", "iid"], ["catid", "classid"]), ["cid", "iid"])
         .drop(GAP_NAMES[("cid", "iid")])
     )
@@ -257,12 +286,14 @@ def user_product_features(lines: DataFrame, level: int) -> DataFrame:
     )
 
 
-def user_cat_features(lines: DataFrame, level: int, by_class: bool = True) -> DataFrame:
+def user_cat_features(
+    lines: DataFrame, walk: DataFrame, level: int, by_class: bool = True
+) -> DataFrame:
     """Pair features at category grain; ``by_class=False`` leaves the class distance out."""
     history = lines.filter(F.col("from_last") > level)
     out = (
         pair_summary(lines, "catid", "cat_reordered", level)
-        .join(max_streak(history, ["cid", "catid"], "max_streak_cat"), ["cid", "catid"])
+        .join(max_streak(walk, ["cid", "catid"], level, "max_streak_cat"), ["cid", "catid"])
         .drop(GAP_NAMES[("cid", "catid")])
     )
     users = history.groupBy("cid").agg(F.count("*").alias("_all"))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from repeatbuy.functions.expr import ratio
 from repeatbuy.operators.outliers import ksigma_filter
-from repeatbuy.operators.timeline import last_per_group
 
 
 def price_day_ratio(zero_days: str = "null") -> Column:
@@ -22,47 +21,64 @@ def price_day_ratio(zero_days: str = "null") -> Column:
     return ratio(F.col("price"), days)
 
 
-def _kept(rows: DataFrame, keys: list[str], value: str, ksigma: float | None) -> DataFrame:
-    return rows if ksigma is None else ksigma_filter(rows, keys, value, ksigma)
+def mean_price_day_ratio(zero_days: str = "null") -> Column:
+    """Mean price per day of a group. With "null" an unknown mean is 0."""
+    mean = F.avg(price_day_ratio(zero_days))
+    return F.coalesce(mean, F.lit(0.0)) if zero_days == "null" else mean
+
+
+def last_price_ratio() -> Column:
+    """Price of a (customer, category)'s last purchase per day since then (plus 0.4)."""
+    since = ratio(F.col("price"), F.col("days") + F.lit(0.4))
+    return F.max(F.when(F.col("is_last"), since))
 
 
 def ave_price_day_ratio(
     gapped: DataFrame, keys: list[str], name: str, zero_days: str = "null",
     ksigma: float | None = None,
 ) -> DataFrame:
-    """Mean price per day of the group. With ``zero_days="null"`` an unknown mean is 0."""
+    if ksigma is None:
+        return gapped.groupBy(*keys).agg(mean_price_day_ratio(zero_days).alias(name))
     rows = gapped.select(*keys, price_day_ratio(zero_days).alias("_ratio"))
     mean = F.avg("_ratio")
     if zero_days == "null":
         mean = F.coalesce(mean, F.lit(0.0))
-    return _kept(rows, keys, "_ratio", ksigma).groupBy(*keys).agg(mean.alias(name))
+    return ksigma_filter(rows, keys, "_ratio", ksigma).groupBy(*keys).agg(mean.alias(name))
 
 
-def days_price_ratio_since_prior(history: DataFrame) -> DataFrame:
-    """Price of the last purchase of the category per day since then (plus 0.4)."""
-    last = last_per_group(history, ["cid", "catid"], ["classid", "price", "days"])
-    since = ratio(F.col("price"), F.col("days") + F.lit(0.4))
-    return last.select("cid", "catid", since.alias("user_days_price_ratio_since_prior"))
+def days_price_ratio_since_prior(gapped: DataFrame) -> DataFrame:
+    return gapped.groupBy("cid", "catid").agg(
+        last_price_ratio().alias("user_days_price_ratio_since_prior")
+    )
+
+
+def _usual(means: DataFrame, ksigma: float | None) -> Column:
+    """Mean over the categories' means, without the unusually large ones."""
+    if ksigma is not None:
+        limit = means.agg(F.avg("_mean") + F.lit(ksigma) * F.stddev_samp("_mean")).scalar()
+        one = means.agg(F.count("*") == 1).scalar()
+        means = means.filter((F.col("_mean") <= limit) | one)
+    return means.agg(F.avg("_mean")).scalar()
 
 
 def days_between_cat_orders(gapped: DataFrame, ksigma: float | None = None) -> DataFrame:
     """Mean days between a customer's purchases per category; unknown ← mean over categories."""
     value = "days_since_prior_purchase"
-    rows = _kept(gapped.select("catid", value), ["catid"], value, ksigma)
-    means = rows.groupBy("catid").agg(F.avg(value).alias("_mean"))
-    usual = means
+    rows = gapped.select("catid", value)
     if ksigma is not None:
-        limit = means.agg(F.avg("_mean") + F.lit(ksigma) * F.stddev_samp("_mean")).scalar()
-        one = means.agg(F.count("*") == 1).scalar()
-        usual = means.filter((F.col("_mean") <= limit) | one)
-    fill = usual.agg(F.avg("_mean")).scalar()
-    return means.select("catid", F.coalesce("_mean", fill).alias("days_between_cat_orders"))
+        rows = ksigma_filter(rows, ["catid"], value, ksigma)
+    means = rows.groupBy("catid").agg(F.avg(value).alias("_mean"))
+    return means.select(
+        "catid", F.coalesce("_mean", _usual(means, ksigma)).alias("days_between_cat_orders")
+    )
 
 
 def days_between_user_cat_orders(gapped: DataFrame, ksigma: float | None = None) -> DataFrame:
     """Mean days between purchases per (customer, category)."""
     value, keys = "days_since_prior_purchase", ["cid", "catid"]
-    rows = _kept(gapped.select(*keys, value), keys, value, ksigma)
+    rows = gapped.select(*keys, value)
+    if ksigma is not None:
+        rows = ksigma_filter(rows, keys, value, ksigma)
     return rows.groupBy(*keys).agg(F.avg(value).alias("days_between_user_cat_orders"))
 
 

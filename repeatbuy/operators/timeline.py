@@ -168,12 +168,16 @@ def purchase_gaps(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def at_level(gapped: DataFrame, level: int) -> DataFrame:
-    """History rows of a holdout level; a next purchase that was held out is unknown."""
-    known = F.col("next_from_last") > level
+    """History rows of a holdout level, days re-based.
+
+    A next purchase that was held out is unknown; ``is_last`` marks the last purchase left.
+    """
+    known = F.coalesce(F.col("next_from_last") > level, F.lit(False))
     return (
         gapped.filter(F.col("from_last") > level)
         .withColumn("days_to_next_purchase", F.when(known, F.col("days_to_next_purchase")))
         .withColumn("days", F.col("days") - F.col(f"anchor_{level}"))
+        .withColumn("is_last", ~known)
         .drop("next_from_last")
     )
 

@@ -24,30 +24,26 @@ def _fill_zero(df: DataFrame) -> DataFrame:
     return df.fillna(0, subset=[c for c in df.columns if c not in IDS])
 
 
-def _labels(orders: Orders, grain: Grain, level: int) -> DataFrame:
-    return stage(holdout.label_set(orders.lines, grain, level, context=True), "labels")
+def _labels(orders: Orders, grain: Grain, level: int, pairs: DataFrame) -> DataFrame:
+    """Label rows with the features of their own (customer, product) key, staged.
 
-
-def _users(
-    orders: Orders, grain: Grain, level: int, ksigma: float | None = None
-) -> DataFrame:
-    """Customer features and the share of the label basket's gap, one row per customer."""
-    share = (
-        orders.lines.filter(F.col("from_last") > level)
-        .groupBy("cid")
-        .agg(features.label_gap_share(level).alias(features.GAP_NAMES[("cid",)]))
-    )
-    users = features.user_features(orders.lines, orders.baskets, grain, level, ksigma)
-    return users.join(share, "cid")
+    Both sides have one row per key and are grouped by it, so the join needs no further shuffle.
+    """
+    labels = holdout.label_set(orders.lines, grain, level, context=True)
+    return stage(labels.join(pairs, ["cid", grain.key]), "labels")
 
 
-def _by_class(orders: Orders, level: int) -> DataFrame:
-    """(customer, class) values; the flag-based rate is not a model feature."""
-    summary = features.pair_summary(orders.lines, "classid", "class_reordered", level)
-    return summary.drop("u_c_lines", "u_c_reorder_rate")
+def _by_class(orders: Orders, grain: Grain, level: int, ksigma: float | None = None):
+    """Customer features on every (customer, class): one join carries both onto the labels."""
+    classes = features.pair_summary(orders.lines, "classid", "class_reordered", level)
+    users = features.user_features(
+        orders.lines, orders.baskets, grain, level, ksigma, gap_share=True
+    )
+    return classes.drop("u_c_lines", "u_c_reorder_rate").join(users, "cid")
 
 
-def _join_all(labels: DataFrame, tables, sizes: Sizes) -> DataFrame:
+def _join_all(labels: DataFrame, tables) -> DataFrame:
+    sizes = Sizes(labels, staged=True)
     out = labels
     for table, on, how in tables:
         out = attach(out, table, on, how, sizes)
@@ -67,27 +63,24 @@ def model_input_item(
     """
     lines = orders.lines
     history = lines.filter(F.col("from_last") > level)
-    pairs = features.pair_summary(lines, "iid", "reordered", level).join(
-        features.max_streak(history, ["cid", "iid"], "max_streak"), ["cid", "iid"]
-    )
-    cats = features.pair_summary(lines, "catid", "cat_reordered", level).join(
-        features.max_streak(history, ["cid", "catid"], "max_streak_cat"), ["cid", "catid"]
-    )
+
+    def pairs(key: str, flag: str, streak: str) -> DataFrame:
+        on = ["cid", key]
+        summary = features.pair_summary(lines, key, flag, level)
+        return summary.join(features.max_streak(orders.walks[key], on, level, streak), on)
+
     tables = [
-        (_users(orders, ITEM, level), ["cid"], "inner"),
-        (pairs, ["cid", "iid"], "inner"),
-        (cats, ["cid", "catid"], "inner"),
-        (_by_class(orders, level), ["cid", "classid"], "inner"),
+        (_by_class(orders, ITEM, level), ["cid", "classid"], "inner"),
+        (pairs("catid", "cat_reordered", "max_streak_cat"), ["cid", "catid"], "inner"),
         (features.product_reorder_rate(history), ["iid"], "inner"),
         (features.cat_reorder_rate(history), ["catid"], "inner"),
         *_time(orders, level, ["iid", "catid", "classid"]),
     ]
     if reduced is not None:
         tables.append((reduced, ["iid"], "left"))
-    labels = _labels(orders, ITEM, level)
-    out = _join_all(labels, tables, Sizes(labels, staged=True))
+    labels = _labels(orders, ITEM, level, pairs("iid", "reordered", "max_streak"))
     return _fill_zero(
-        out.withColumns(
+        _join_all(labels, tables).withColumns(
             {
                 "u_p_order_rate": ratio("u_p_lines", "user_total_products"),
                 "u_t_order_rate": ratio("u_t_lines", "user_total_products"),
@@ -98,41 +91,43 @@ def model_input_item(
 
 def _category(orders: Orders, level: int, zero_days: str, ksigma: float | None,
               reduced: DataFrame | None, intervals: bool) -> DataFrame:
-    lines = orders.lines
-    history = lines.filter(F.col("from_last") > level)
-    gapped = at_level(orders.gapped, level)
-    per_day = partial(
-        price.ave_price_day_ratio, gapped, zero_days=zero_days, ksigma=ksigma
-    )
-    cats = features.cat_reorder_rate(history).join(
-        per_day(["catid"], "ave_price_day_ratio"), "catid"
-    )
     pair = ["cid", "catid"]
-    pairs = (
-        features.pair_summary(lines, "catid", "cat_reordered", level)
-        .join(features.max_streak(history, pair, "max_streak_cat"), pair)
-        .join(per_day(pair, "user_ave_price_day_ratio"), pair)
-        .join(price.days_price_ratio_since_prior(gapped), pair)
+    gapped = at_level(orders.gapped, level)
+    by_cat = [F.avg("cat_reordered").alias("cat_reorder_rate")]
+    by_pair = [
+        *features.pair_columns("catid", "cat_reordered", level),
+        price.last_price_ratio().alias("user_days_price_ratio_since_prior"),
+    ]
+    if ksigma is None:
+        mean = price.mean_price_day_ratio(zero_days)
+        by_cat.append(mean.alias("ave_price_day_ratio"))
+        by_pair.append(mean.alias("user_ave_price_day_ratio"))
+    cats = gapped.groupBy("catid").agg(*by_cat)
+    pairs = gapped.groupBy(*pair).agg(*by_pair).join(
+        features.max_streak(orders.walks["catid"], pair, level, "max_streak_cat"), pair
     )
+    if ksigma is not None:
+        per_day = partial(
+            price.ave_price_day_ratio, gapped, zero_days=zero_days, ksigma=ksigma
+        )
+        cats = cats.join(per_day(["catid"], "ave_price_day_ratio"), "catid")
+        pairs = pairs.join(per_day(pair, "user_ave_price_day_ratio"), pair)
     if intervals:
         cat_days = price.days_between_cat_orders(gapped, ksigma)
         cats = cats.join(zero_to_one(cat_days, ["days_between_cat_orders"]), "catid")
         pair_days = price.days_between_user_cat_orders(gapped, ksigma)
         pairs = pairs.join(zero_to_one(pair_days, ["days_between_user_cat_orders"]), pair)
     tables = [
-        (_users(orders, CATEGORY, level, ksigma), ["cid"], "inner"),
-        (pairs, pair, "inner"),
-        (_by_class(orders, level), ["cid", "classid"], "inner"),
+        (_by_class(orders, CATEGORY, level, ksigma), ["cid", "classid"], "inner"),
         (cats, ["catid"], "inner"),
         *_time(orders, level, ["catid", "classid"]),
     ]
     if reduced is not None:
         tables.append((reduced, ["catid"], "left"))
-    labels = _labels(orders, CATEGORY, level)
-    out = _join_all(labels, tables, Sizes(labels, staged=True))
-    return out.withColumn("u_t_order_rate", ratio("u_t_lines", "user_total_cats")).drop(
-        "u_t_lines"
-    )
+    labels = _labels(orders, CATEGORY, level, pairs)
+    return _join_all(labels, tables).withColumn(
+        "u_t_order_rate", ratio("u_t_lines", "user_total_cats")
+    ).drop("u_t_lines")
 
 
 def model_input_category(

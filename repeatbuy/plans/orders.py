@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame
 
 from repeatbuy.functions.skew import Sizes
 from repeatbuy.operators import clean, timeline
+from repeatbuy.operators.features import streak_walk
 from repeatbuy.operators.outliers import remove_gap_outliers
 from repeatbuy.plans.staging import stage
 
 
 class Orders(NamedTuple):
-    """Enriched lines, basket timeline and (category grain) lines with purchase gaps."""
+    """Enriched lines, basket timeline, streak walks by product key and, at category grain, lines
+    with purchase gaps. All of them serve every holdout level."""
 
     lines: DataFrame
     baskets: DataFrame
+    walks: dict[str, DataFrame]
     gapped: DataFrame | None = None
 
 
@@ -71,5 +74,10 @@ def build_orders(cleaned: DataFrame, gaps: bool, otli: int | None = None) -> Ord
     walked = stage(timeline.basket_timeline(timeline.basket_rows(base)), "timeline")
     baskets = stage(timeline.holdout_columns(walked, sizes=Sizes(walked, staged=True)), "baskets")
     lines = stage(timeline.with_timeline(flagged, baskets, sizes), "lines")
+    walks = {
+        key: stage(streak_walk(lines, ["cid", key]), "walk")
+        for key in ("iid", "catid")
+        if key in lines.columns
+    }
     gapped = stage(timeline.purchase_gaps(lines, ["cid", "catid"]), "gapped") if gaps else None
-    return Orders(lines, baskets, gapped)
+    return Orders(lines, baskets, walks, gapped)
