@@ -13,6 +13,8 @@ Two ideas cover every operator of the library:
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -124,7 +126,8 @@ def ordered(
     rank = F.struct(*order)
     # Rows and their summary are joined on keys and chunk. Saying up front that these are known
     # keeps both sides of the plan alike, so the shuffle below them is done once.
-    rows = df.withColumn("_chunk", chunk).dropna(subset=[*keys, "_chunk"])
+    known = reduce(and_, [F.col(c).isNotNull() for c in [*keys, "_chunk"]])
+    rows = df.withColumn("_chunk", chunk).filter(known)
 
     summary = [F.sum(c).alias(f"_sum_{n}") for n, c in {**total, **running}.items()]
     if prev:
