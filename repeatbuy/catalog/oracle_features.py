@@ -433,6 +433,12 @@ SQL["p02_standard_scale"] = with_(_SCALE, "SELECT cid, catid, " + ", ".join(
 SQL["p03_max_scale"] = with_(_SCALE, "SELECT cid, catid, " + ", ".join(
     rnd(f"{c} / (SELECT max({c}) FROM s)", c) for c in _COLS) + " FROM s")
 
+_TRAIN = " + ".join(
+    f"(SELECT count(*) FROM ({input_category(k)}) WHERE reorder_label = 0{cond})"
+    for k, cond in ((2, ""), (1, " AND (cid * 7919 + 104729) % 1000 < 700")))
+SQL["s09_write_balanced"] = f"""
+SELECT CAST(k AS INTEGER) AS reorder_label, {_TRAIN} AS rows FROM (VALUES (0), (1)) v(k)"""
+
 # --- evaluation on the fixed score ---------------------------------------------------------
 
 _SCORED = cat() + [f"""p AS (

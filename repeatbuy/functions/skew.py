@@ -51,6 +51,9 @@ class Sizes:
                 self._small = self.rows.count() <= self.floor
             if self._small:
                 return None
+            # A combination can only be hot where each of its columns is.
+            if len(on) > 1 and any(self.hot([c]) is None for c in on):
+                return None
         key = tuple(on)
         if key not in self._hot:
             found = self._lookup(key)

@@ -41,8 +41,8 @@ def popular_lines(
 def item_lines(
     raw: DataFrame, min_price: float = 300, min_orders: int = 2, rare_class: int = 25
 ) -> DataFrame:
-    valid = stage(valid_lines(raw, min_price), "valid")
-    return popular_lines(valid, min_orders, rare_class, staged=True)
+    """Cleaned item lines; ``raw`` should be a columnar table, it is read more than once."""
+    return popular_lines(valid_lines(raw, min_price), min_orders, rare_class, staged=True)
 
 
 def rolled_lines(raw: DataFrame, min_price: float = 300) -> DataFrame:

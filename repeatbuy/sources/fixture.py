@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repeatbuy.functions.skew import Sizes, attach
+
 # The fixture's classes stand in for product groups.
 FIXTURE_GROUPS = {
     "is_small": ["SMALL"],
@@ -46,18 +48,13 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice").alias("price"),
     )
     newest = orders.agg(F.max("checkoutdate")).scalar()
-    # Plain joins: each side is a scan, so adaptive execution can split a skewed partition or
-    # switch to a broadcast once it has measured the dimension.
-    baskets = orders.join(customers, "cid").withColumn(
-        "days", F.datediff(newest, F.col("checkoutdate"))
-    )
-    return (
-        lines.join(baskets, "bid")
-        .join(parts, "iid")
-        .select(
-            "cid", "bid", "iid", "catid", "classid", "quantity", "price",
-            "segmentationlabel", "marketid", "checkoutdate", "days",
-        )
+    days = F.datediff(newest, F.col("checkoutdate"))
+    baskets = attach(orders, customers, ["cid"], sizes=Sizes(orders, staged=True))
+    sizes = Sizes(lines, staged=True)
+    out = attach(lines, baskets.withColumn("days", days), ["bid"], sizes=sizes)
+    return attach(out, parts, ["iid"], sizes=sizes).select(
+        "cid", "bid", "iid", "catid", "classid", "quantity", "price",
+        "segmentationlabel", "marketid", "checkoutdate", "days",
     )
 
 
