@@ -7,12 +7,21 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from repeatbuy.catalog.registry import query
-from repeatbuy.functions.fixed import CATEGORY, LABEL
+from repeatbuy.functions.fixed import (
+    CATEGORY,
+    ITEM_FEATURES,
+    LABEL,
+    RATIO_FEATURES,
+    REDUCED_FEATURES,
+    STACKED_FEATURES,
+)
 from repeatbuy.functions.skew import attach
 from repeatbuy.operators import evaluate, features, holdout, models, prepare
+from repeatbuy.plans import inputs
 from repeatbuy.plans.staging import fresh_path, stage
 from repeatbuy.plans.workspace import ROW
 from repeatbuy.sources import tables
+from repeatbuy.sources.fixture import FIXTURE_GROUPS
 
 
 def fixed_scores(ws):
@@ -44,12 +53,37 @@ SCALE_COLUMNS = [
 ]
 
 
-@query("p01_select_features")
-def _(ws):
-    vectors = ws.frames.vectors("test")
+def summed(vectors, *keys):
+    """Length and sum of the feature vector: shows that every feature arrived."""
     x = vector_to_array("features")
-    return vectors.select(ROW, LABEL, F.size(x).alias("n_features"), F.aggregate(
-        x, F.lit(0.0), lambda a, b: a + b).alias("feature_sum"))
+    total = F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    return vectors.select(
+        *keys, LABEL, F.size(x).alias("n_features"), total.alias("feature_sum")
+    )
+
+
+def stacked_test(ws):
+    """Test rows of the stacked input with the reduced class features."""
+    rows = inputs.stack(ws.holdouts).filter(F.col("split") == "test")
+    return attach(rows, ws.reduced, ["catid"]).fillna(0, subset=RATIO_FEATURES)
+
+
+@query("p01_select_features_item")
+def _(ws):
+    reduced = features.reduced_class_features(ws.raw, "iid", FIXTURE_GROUPS)
+    rows = inputs.model_input_item(ws.item, 1, reduced)
+    return summed(prepare.select_features(rows, ITEM_FEATURES, ["cid", "iid"]), "cid", "iid")
+
+
+@query("p01_select_features_cat")
+def _(ws):
+    return summed(ws.frames.vectors("test"), ROW)
+
+
+@query("p01_select_features_stacked")
+def _(ws):
+    vectors = prepare.select_features(stacked_test(ws), STACKED_FEATURES, ["cid", "catid"])
+    return summed(vectors, "cid", "catid")
 
 
 @query("p02_standard_scale")
@@ -79,14 +113,21 @@ def _(ws):
     return kept.select(ROW, LABEL, *[x[i].alias(n) for i, n in enumerate(names)])
 
 
+@query("p05_reduced_features_fixed")
+def _(ws):
+    """The fixed list of fifteen, cut out of the stacked feature vector by name."""
+    vectors = prepare.select_features(stacked_test(ws), STACKED_FEATURES, ["cid", "catid"])
+    x = vector_to_array("features")
+    kept = prepare.reduced_features(vectors, REDUCED_FEATURES)
+    return kept.select(
+        "cid", "catid", LABEL, *[x[i].alias(n) for i, n in enumerate(REDUCED_FEATURES)]
+    )
+
+
 def fitted(ws, name):
     """One fitted model per kind and workspace."""
-    made = ws.__dict__.setdefault("_models", {})
-    if name not in made:
-        frames = ws.frames
-        train = stage(frames.vectors("balanced"), "vectors") if "_train" not in made else made["_train"]
-        made["_train"] = train
-        n = len(frames.columns)
+    if name not in ws.fitted:
+        train, n = ws.train_vectors, len(ws.frames.columns)
         fits = {
             "logistic": lambda: models.logistic_regression(maxIter=50).fit(train),
             "gnb": lambda: models.gaussian_nb().fit(train),
@@ -101,8 +142,8 @@ def fitted(ws, name):
             "mlp": lambda: models.mlp(n, maxIter=30).fit(train),
             "bagging": lambda: models.bagging(10, maxDepth=8).fit(train),
         }
-        made[name] = fits[name]()
-    return made[name]
+        ws.fitted[name] = fits[name]()
+    return ws.fitted[name]
 
 
 def predictions(ws, model, split="test"):
@@ -170,6 +211,13 @@ def _(ws):
     return models.grid_results(found)
 
 
+@query("m14_grid_search_ada")
+def _(ws):
+    """Boosted stumps are fitted by a function; same search, same metric."""
+    train = stage(folded(ws, 2), "folds")
+    return models.search_fits(train, models.fit_ada_boost, {"rounds": [2, 4]}, folds=2)
+
+
 @query("m15_batch_training")
 def _(ws):
     frames = ws.frames
@@ -224,7 +272,7 @@ def _(ws):
 @query("v06_permutation_importance")
 def _(ws):
     frames = ws.frames
-    model = fitted(ws, "gnb")
+    model = fitted(ws, "forest")
 
     def score(m, rows):
         return m.transform(prepare.select_features(rows, frames.columns, [ROW]))

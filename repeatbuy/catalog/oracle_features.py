@@ -7,7 +7,7 @@ from repeatbuy.catalog.oracle import (
     numbered, of, rate, rnd, with_,
 )
 from repeatbuy.functions.fixed import (
-    CATEGORY, CATEGORY_FEATURES, ITEM, ITEM_FEATURES, RATIO_FEATURES,
+    CATEGORY, CATEGORY_FEATURES, ITEM, ITEM_FEATURES, RATIO_FEATURES, REDUCED_FEATURES,
 )
 from repeatbuy.operators.evaluate import RECALLS, THRESHOLDS
 from repeatbuy.sources.fixture import FIXTURE_GROUPS
@@ -439,6 +439,10 @@ _TRAIN = " + ".join(
 SQL["s09_write_balanced"] = f"""
 SELECT CAST(k AS INTEGER) AS reorder_label, {_TRAIN} AS rows FROM (VALUES (0), (1)) v(k)"""
 
+SQL["p05_reduced_features_fixed"] = with_(_CTES, """
+SELECT cid, catid, CAST(reorder_label AS DOUBLE) AS reorder_label, """ + ", ".join(
+    rnd(f"coalesce({c}, 0)", c) for c in REDUCED_FEATURES) + " FROM done WHERE split = 'test'")
+
 # --- evaluation on the fixed score ---------------------------------------------------------
 
 _SCORED = cat() + [f"""p AS (

@@ -121,7 +121,7 @@ def ordered(
 ) -> DataFrame:
     """Add ordered per-key values to every row, exactly, without a task per key.
 
-    ``chunk`` must not decrease along ``order`` within a key (a day of a timestamp, a block of
+    ``chunk`` must not decrease along ``order`` within a key (an hour of a timestamp, a block of
     order numbers). ``running`` are inclusive running sums, ``total`` sums over the whole key,
     ``prev`` / ``nxt`` the value on the neighbouring row, NULL at the ends.
     """
@@ -172,7 +172,7 @@ def ordered(
 
 
 def numbered(
-    rows: DataFrame, key: str, seed: int, name: str = "_place", buckets: int = 4096
+    rows: DataFrame, key: str, seed: int, name: str = "_place", buckets: int = 65536
 ) -> DataFrame:
     """Number the rows from 1 in a seeded hash order of ``key``, bucket by bucket."""
     mixed = rows.withColumn("_mix", F.xxhash64(F.lit(seed), F.col(key)))

@@ -306,6 +306,41 @@ def grid_search(
     ).fit(train)
 
 
+# The tuning grids, in Spark ML's parameter names. L1 / L2 penalties are
+# elasticNetParam 1 / 0, regParam is the inverse of the penalty weight C.
+GRIDS = {
+    "logistic": {"regParam": [10.0, 1.0], "elasticNetParam": [0.0, 1.0], "maxIter": [200]},
+    "gnb": {"smoothing": [1e-9, 1e-10, 1e-8, 1e-11]},
+    "forest": {"numTrees": [10, 50, 200], "impurity": ["gini", "entropy"], "maxDepth": [30]},
+    "extra": {"trees": [10, 50, 200], "depth": [30]},
+    "ada": {"rounds": [10, 50, 100, 200], "rate": [0.1, 1.0, 10.0]},
+    "boosted": {"stepSize": [0.1], "maxDepth": [3, 5], "maxIter": [100]},
+}
+
+
+def search_fits(
+    train: DataFrame, fit: Callable[..., object], grid: Mapping[str, Iterable], folds: int = 10,
+) -> DataFrame:
+    """Grid search for models that are fitted by a function rather than an estimator.
+
+    ``fit(rows, **params)`` is tried on every fold; the metric is the area under the
+    precision-recall curve, as in ``grid_search``.
+    """
+    judge = BinaryClassificationEvaluator(
+        labelCol=LABEL, rawPredictionCol="probability", metricName="areaUnderPR"
+    )
+    rows = []
+    for values in itertools.product(*grid.values()):
+        params = dict(zip(grid, values))
+        metrics = []
+        for f in range(folds):
+            model = fit(train.filter(F.col("fold") != f), **params)
+            metrics.append(judge.evaluate(model.transform(train.filter(F.col("fold") == f))))
+        text = ", ".join(sorted(f"{k}={v}" for k, v in params.items()))
+        rows.append((text, float(np.mean(metrics)), float(np.std(metrics))))
+    return _local(rows, "params string, metric double, metric_std double")
+
+
 def grid_results(found: CrossValidatorModel) -> DataFrame:
     """Mean and deviation of the metric per parameter combination."""
     rows = []

@@ -1,7 +1,7 @@
 """Purchase flags and basket timelines.
 
 Baskets of a customer are ordered by (checkoutdate, bid). Everything ordered goes through
-``ordered`` with one chunk per day, so a customer with a third of all baskets is spread over days.
+``ordered`` with one chunk per hour, so a customer with a third of all baskets is spread over hours.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ BASKET_ORDER = ["checkoutdate", "bid"]
 LEVELS = (1, 2, 3)
 
 
-def day() -> Column:
-    """Chunk of the ordered operators: the calendar day of the basket."""
-    return F.to_date("checkoutdate")
+def hour() -> Column:
+    """Chunk of the ordered operators: hours since 1970 on the basket's own clock."""
+    return F.unix_date(F.to_date("checkoutdate")) * 24 + F.hour("checkoutdate")
 
 
 def first_checkout(lines: DataFrame, key: str, name: str) -> DataFrame:
@@ -73,7 +73,7 @@ def basket_rows(lines: DataFrame) -> DataFrame:
 
 def basket_gap(baskets: DataFrame) -> DataFrame:
     """Days since the customer's previous basket; NULL on the first."""
-    prior = ordered(baskets, ["cid"], day(), BASKET_ORDER, prev={"_prior_days": F.col("days")})
+    prior = ordered(baskets, ["cid"], hour(), BASKET_ORDER, prev={"_prior_days": F.col("days")})
     return prior.select(
         *baskets.columns, (F.col("_prior_days") - F.col("days")).alias("days_since_prior_order")
     )
@@ -82,7 +82,7 @@ def basket_gap(baskets: DataFrame) -> DataFrame:
 def basket_timeline(baskets: DataFrame) -> DataFrame:
     """Gap from the last basket, gap to the next, order number from 1, orders in total."""
     out = ordered(
-        baskets, ["cid"], day(), BASKET_ORDER,
+        baskets, ["cid"], hour(), BASKET_ORDER,
         running={"order_number": F.lit(1)},
         total={"total_orders": F.lit(1)},
         prev={"_prior_days": F.col("days")},
@@ -156,7 +156,7 @@ def purchase_gaps(rows: DataFrame, keys: list[str]) -> DataFrame:
     if "from_last" in rows.columns:
         ahead["next_from_last"] = F.col("from_last")
     out = ordered(
-        rows, keys, day(), [*BASKET_ORDER, "classid"],
+        rows, keys, hour(), [*BASKET_ORDER, "classid"],
         prev={"_prior_days": F.col("days")}, nxt=ahead,
     )
     return out.select(

@@ -32,6 +32,7 @@ class Frames(NamedTuple):
 class Workspace:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.fitted: dict[str, object] = {}  # models by kind
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -54,18 +55,25 @@ class Workspace:
         """Frames of the stacked category input."""
         return inputs.stacked_frames(self.category)
 
+    @cached_property
+    def reduced(self) -> DataFrame:
+        """Reduced class features of every category."""
+        made = features.reduced_class_features(self.raw, "catid", fixture.FIXTURE_GROUPS)
+        return stage(made, "reduced")
+
     @cached_property
     def inputs(self) -> tuple[DataFrame, DataFrame]:
         """Train and test model tables at category grain, with the reduced class features."""
-        reduced = stage(
-            features.reduced_class_features(self.raw, "catid", fixture.FIXTURE_GROUPS), "reduced"
-        )
-        made = [inputs.model_input_category(self.category, k, reduced) for k in (2, 1)]
+        made = [inputs.model_input_category(self.category, k, self.reduced) for k in (2, 1)]
         train, test = holdout.customer_split(*made)
         named = F.concat_ws("|", "cid", "bid", "catid").alias(ROW)
         keep = [named, "cid", *CATEGORY_FEATURES, LABEL]
         return stage(train.select(*keep), "train"), stage(test.select(*keep), "test")
 
+    @cached_property
+    def train_vectors(self) -> DataFrame:
+        return stage(self.frames.vectors("balanced"), "vectors")
+
     @cached_property
     def frames(self) -> Frames:
         train, test = self.inputs
