@@ -13,6 +13,14 @@ from repeatbuy.operators.outliers import remove_gap_outliers
 from repeatbuy.plans.staging import stage
 
 
+# What the purchase-gap table needs of a line; the rest would only widen its shuffle.
+GAP_COLUMNS = [
+    "cid", "bid", "catid", "classid", "checkoutdate", "days", "price", "cat_reordered",
+    "days_since_prior_order", "from_last",
+    *[f"{c}_{k}" for k in timeline.LEVELS for c in ("anchor", "label_gap")],
+]
+
+
 class Orders(NamedTuple):
     """Enriched lines, basket timeline, streak walks by product key and, at category grain, lines
     with purchase gaps. All of them serve every holdout level."""
@@ -64,7 +72,7 @@ def build_orders(cleaned: DataFrame, gaps: bool, otli: int | None = None) -> Ord
     """
     base = stage(cleaned, "cleaned")
     sizes = Sizes(base, staged=True)
-    flagged = timeline.enrich(base, sizes)
+    flagged = timeline.enrich(base, sizes).drop(*timeline.FIRST_NAMES.values())
     if otli is not None:
         before = stage(timeline.basket_timeline(timeline.basket_rows(base)), "timeline")
         flagged = stage(
@@ -79,5 +87,7 @@ def build_orders(cleaned: DataFrame, gaps: bool, otli: int | None = None) -> Ord
         for key in ("iid", "catid")
         if key in lines.columns
     }
-    gapped = stage(timeline.purchase_gaps(lines, ["cid", "catid"]), "gapped") if gaps else None
-    return Orders(lines, baskets, walks, gapped)
+    if not gaps:
+        return Orders(lines, baskets, walks)
+    gapped = timeline.purchase_gaps(lines.select(*GAP_COLUMNS), ["cid", "catid"])
+    return Orders(lines, baskets, walks, stage(gapped, "gapped"))
