@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from repeatbuy.catalog.oracle import (
-    GAPS, KEPT, LINES, OTLI, SQL, baskets, cat, clean, div, history, holdout, item, ksigma,
+    GAPS, KEPT, LINES, OTLI, SQL, baskets, cat, clean, div, holdout, item, ksigma,
     numbered, of, rate, rnd, with_,
 )
 from repeatbuy.functions.fixed import (
