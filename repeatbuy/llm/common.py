@@ -40,12 +40,12 @@ def words(text: str | None) -> list[bytes]:
 
 
 def map_slices(
-    df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str
+    df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str, size: int = SLICE
 ) -> DataFrame:
     """Run a function over small slices of rows: column lists in, column lists out.
 
     ``make`` is called once in each task and returns that function, so a task can keep caches. Only
-    SLICE rows are Python objects at a time, whatever the size of Spark's Arrow batches.
+    ``size`` rows are Python objects at a time, whatever the size of Spark's Arrow batches.
     """
     fields = _parse_datatype_string(schema)
     assert isinstance(fields, StructType)
@@ -54,8 +54,8 @@ def map_slices(
     def run(batches):
         step = make()
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                piece = batch.slice(start, SLICE)
+            for start in range(0, batch.num_rows, size):
+                piece = batch.slice(start, size)
                 out = step({n: piece.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
 

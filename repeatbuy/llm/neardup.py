@@ -4,8 +4,9 @@ Each document's set of five-word shingles is hashed; under each of 64 permutatio
 and the largest value are kept, so 128 values cost 64 evaluations. Bands of four values are the
 candidate keys. Equal sets collapse first. Within a key, documents are held against the key's
 smallest id; links are confirmed on the full sets and joined to components. Keys that then still
-hold several components are searched pair by pair, block by block, in tasks: what whole signatures
-don't rule out is confirmed on the full sets as well.
+hold several components are searched by whole signatures, block by block, inside tasks, for pairs of
+components that may be linked. The members of such components meet in tasks with their full sets,
+again block by block, and only links found leave a task.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ LEAST = 75  # percent
 #: Of 128 values, so many agree at least: at a similarity of 0.75 fewer do in 1 of 30,000 pairs.
 AGREE = 76
 BLOCK = 256
+CELL = 128
 CACHED = 500_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 FACTORS = np.array(
@@ -128,34 +130,44 @@ def signed_rows(docs: DataFrame) -> DataFrame:
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
+    """id, the full set as sorted 64-bit numbers, and the signature's bytes."""
     shared = docs.sparkSession.sparkContext.broadcast({})
 
     def make():
         cache = shared.value
+        a, b = permutations()
 
         def step(cols):
-            return {
-                "id": cols["id"],
-                "set": [shingles(t, cache).view(np.int64) for t in cols["text"]],
-            }
+            sets = [shingles(t, cache) for t in cols["text"]]
+            signs = [(signature(s, a, b) & np.uint32(255)).astype(np.uint8).tobytes() for s in sets]
+            return {"id": cols["id"], "set": [s.tobytes() for s in sets], "bytes": signs}
 
         return step
 
-    return map_slices(docs, make, "id long, set array<long>")
+    return map_slices(docs, make, "id long, set binary, bytes binary")
+
+
+def alike(one: np.ndarray, other: np.ndarray) -> bool:
+    same = len(np.intersect1d(one, other, assume_unique=True))
+    return 100 * same >= LEAST * (len(one) + len(other) - same)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets are alike enough. Each side is fetched once per pair."""
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .select("a", "b", both.alias("same"), (F.size("sa") + F.size("sb")).alias("sum"))
-        .filter(f"100 * same >= {LEAST} * (sum - same)")
-        .select("a", "b")
-    )
+
+    def make():
+        def step(c):
+            ok = [
+                alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+                for x, y in zip(c["sa"], c["sb"], strict=True)
+            ]
+            return {k: [v for v, o in zip(c[k], ok, strict=True) if o] for k in ("a", "b")}
+
+        return step
+
+    return map_slices(pairs.join(left, "a").join(right, "b"), make, "a long, b long", 64)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -190,8 +202,8 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def block_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) still to confirm of keys with several components.
+def open_components(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of components that share a key in which whole signatures leave a link possible.
 
     ``rows``: key, id, n, component, pivot, bytes. A key's rows are dealt to blocks by a hash of
     the id; each pair of blocks is one row of at most about 2 x BLOCK members.
@@ -214,36 +226,100 @@ def block_pairs(rows: DataFrame) -> DataFrame:
 
     def make():
         def one(p, q, members):
-            ids = np.array([m["id"] for m in members], np.int64)
             n = np.array([m["n"] for m in members], np.int64)
             part = np.array([m["component"] for m in members], np.int64)
             block = np.array([m["block"] for m in members])
             pivot = np.array([m["pivot"] for m in members])
-            values = np.frombuffer(b"".join(m["bytes"] for m in members), np.uint8).reshape(len(ids), -1)
-            a_out, b_out = [], []
+            values = np.frombuffer(b"".join(m["bytes"] for m in members), np.uint8).reshape(len(n), -1)
+            found = set()
             for i in np.flatnonzero((block == p) & ~pivot):
                 other = (block == q) & ~pivot & (part != part[i])
-                if p == q:
-                    other &= ids > ids[i]
                 other &= 100 * np.minimum(n, n[i]) >= LEAST * np.maximum(n, n[i])
                 at = np.flatnonzero(other)
                 if len(at):
                     at = at[(values[at] == values[i]).sum(axis=1) >= AGREE]
-                    a_out += [int(max(ids[i], ids[j])) for j in at]
-                    b_out += [int(min(ids[i], ids[j])) for j in at]
-            return a_out, b_out
+                    mine = int(part[i])
+                    found |= {(max(mine, c), min(mine, c)) for c in part[at].tolist()}
+            return found
+
+        def step(cols):
+            found = set()
+            for row in zip(cols["p"], cols["q"], cols["members"], strict=True):
+                found |= one(*row)
+            return {"a": [f[0] for f in found], "b": [f[1] for f in found]}
+
+        return step
+
+    return map_slices(cells, make, "a long, b long", 16).distinct()
+
+
+def linked_components(pairs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between members of components that may be linked, confirmed on full sets.
+
+    ``members``: id, component. Of each pair the larger component is host; its members and those of
+    all its guests are dealt to blocks, and each pair of blocks is a row of at most about 2 x CELL
+    full sets. A guest's search ends at its first link, as the host is one component already.
+    """
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
+    size = lambda c, m: sizes.select(F.col("component").alias(c), F.col("m").alias(m))
+    larger = (F.col("ma") > F.col("mb")) | ((F.col("ma") == F.col("mb")) & (F.col("a") < F.col("b")))
+    hosted = (
+        pairs.join(size("a", "ma"), "a")
+        .join(size("b", "mb"), "b")
+        .select(
+            F.when(larger, F.col("a")).otherwise(F.col("b")).alias("host"),
+            F.when(larger, F.col("b")).otherwise(F.col("a")).alias("component"),
+            F.greatest("ma", "mb").alias("hosts"),
+            F.least("ma", "mb").alias("guests"),
+        )
+    )
+    blocks = stage(
+        hosted.groupBy("host").agg(
+            F.ceil(F.max("hosts") / CELL).cast("int").alias("hb"),
+            F.ceil(F.sum("guests") / CELL).cast("int").alias("gb"),
+        ),
+        "hosts",
+    )
+    guests = hosted.select("host", "component").join(members, "component").select("host", "id", F.lit(True).alias("guest"))
+    hosts = blocks.select("host").join(members, F.col("host") == F.col("component"))
+    rows = guests.unionByName(hosts.select("host", "id", F.lit(False).alias("guest")))
+    rows = rows.join(blocks, "host").join(sets, "id")
+    own, other = F.when(F.col("guest"), F.col("gb")).otherwise(F.col("hb")), F.when(
+        F.col("guest"), F.col("hb")
+    ).otherwise(F.col("gb"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), own).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), other - 1)))
+    cells = rows.groupBy(
+        "host",
+        F.when(F.col("guest"), F.col("other")).otherwise(F.col("own")).alias("p"),
+        F.when(F.col("guest"), F.col("own")).otherwise(F.col("other")).alias("q"),
+    ).agg(F.collect_list(F.struct("id", "guest", "bytes", "set")).alias("members"))
+
+    def make():
+        def one(members):
+            hosts = [m for m in members if not m["guest"]]
+            if not hosts:
+                return
+            values = np.frombuffer(b"".join(m["bytes"] for m in hosts), np.uint8).reshape(len(hosts), -1)
+            sets = [np.frombuffer(m["set"], np.uint64) for m in hosts]
+            for m in members:
+                if m["guest"]:
+                    agree = (values == np.frombuffer(m["bytes"], np.uint8)).sum(axis=1)
+                    mine = np.frombuffer(m["set"], np.uint64)
+                    for j in np.argsort(-agree, kind="stable"):
+                        if agree[j] < AGREE:
+                            break
+                        if alike(mine, sets[j]):
+                            yield m["id"], hosts[j]["id"]
+                            break
 
         def step(cols):
-            a_out, b_out = [], []
-            for p, q, members in zip(cols["p"], cols["q"], cols["members"], strict=True):
-                a, b = one(p, q, members)
-                a_out += a
-                b_out += b
-            return {"a": a_out, "b": b_out}
+            found = [f for members in cols["members"] for f in one(members)]
+            return {"a": [f[0] for f in found], "b": [f[1] for f in found]}
 
         return step
 
-    return map_slices(cells, make, "a long, b long").distinct()
+    return map_slices(cells.select("members"), make, "a long, b long", 4)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -293,7 +369,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     rest = stage(marked.join(open_keys, "key", "left_semi"), "open")
     rest = rest.join(reps.select(F.col("doc_id").alias("id"), "bytes").dropDuplicates(["id"]), "id")
-    more = stage(confirmed(block_pairs(rest), sets), "links")
+    members = rest.select("id", "component").distinct()
+    more = stage(linked_components(open_components(rest), members, sets), "links")
     again = (
         more.join(first.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
         .join(first.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")

@@ -298,6 +298,7 @@ def test_near_duplicates(docs, texts):
 
 def test_near_duplicates_chains_and_hot_groups(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "CELL", 8)
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
     texts, n = {}, 0
