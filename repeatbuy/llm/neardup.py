@@ -28,7 +28,7 @@ BANDS = 2 * PERMUTATIONS // ROWS
 LEAST = 75  # percent
 #: Of 128 values, so many agree at least: at a similarity of 0.75 fewer do in 1 of 30,000 pairs.
 AGREE = 76
-BLOCK = 256
+BLOCK = 1024  # members of a key, of some 170 bytes, that meet as many others in one task
 CELL = 128
 CACHED = 500_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -250,7 +250,7 @@ def open_components(rows: DataFrame) -> DataFrame:
 
         return step
 
-    return map_slices(cells, make, "a long, b long", 16).distinct()
+    return map_slices(cells, make, "a long, b long", 4).distinct()
 
 
 def linked_components(pairs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
