@@ -12,8 +12,10 @@ meet before every space, and words found before are read from a bounded cache.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ by_value(__name__)
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHED = 400_000
+CACHED = 800_000
 CACHED_CHARS = 64
 
 
@@ -59,11 +61,15 @@ class Codec:
         self.longest = max(map(len, self.plain), default=1)
         # Caches live with the model: a worker keeps a broadcast value from task to task.
         self.pairs: dict[tuple[str, str], bool] = model.setdefault("pairs", {})
-        self.known: dict[str, list[int]] = model.setdefault("known", {})
-        self.limit: dict[str, int] = model.setdefault("limit", {})
-        if not self.limit:  # longest piece by its last two characters
+        self.known: dict[str, bytes] = model.setdefault("known", {})
+        self.sizes: dict[str, tuple[int, ...]] = model.setdefault("sizes", {})
+        if not self.sizes:  # sizes of the pieces that end in three characters, longest first
+            found: dict[str, set[int]] = {}
             for p in self.plain:
-                self.limit[p[-2:]] = max(len(p), self.limit.get(p[-2:], 1))
+                if len(p) > 2:
+                    found.setdefault(p[-3:], set()).add(len(p))
+            for end, sizes in found.items():
+                self.sizes[end] = (*sorted(sizes, reverse=True), 2, 1)
         crosses = any(SPACE in p.lstrip(SPACE) for p in self.plain)
         self.chunk = re.compile(".+" if crosses else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", re.S)
 
@@ -94,8 +100,9 @@ class Codec:
         look = 4 * self.longest
         for i in range(1, ends + 1):
             size = 0
-            most = self.limit.get(chars[i - 2 : i], 1) if i > 1 else 1
-            for k in range(min(most, i - base), 0, -1):
+            for k in self.sizes.get(chars[i - 3 : i], (2, 1)) if i > 2 else (2, 1):
+                if k > i - base:
+                    continue
                 piece = chars[i - k : i]
                 before = last[i - k - base]
                 if (k == 1 or piece in self.plain) and (before or i - k == base):
@@ -139,24 +146,25 @@ class Codec:
             return [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
         return [self.unknown]
 
-    def encode(self, text: str | None) -> list[int] | None:
-        if text is None:
-            return None
-        if not text:
-            return []
-        out: list[int] = []
-        for chunk in self.chunk.findall(SPACE + text.replace(" ", SPACE)):
+    def packed(self, text: str) -> bytes:
+        """Ids of a text as 32-bit numbers."""
+        out: list[bytes] = []
+        for chunk in self.chunk.findall(SPACE + text.replace(" ", SPACE)) if text else ():
             hit = self.known.get(chunk)
             if hit is None:
-                if len(chunk) > CACHED_CHARS:
-                    for piece in self.pieces(chunk):
-                        out.extend(self.ids(piece))
-                    continue
-                if len(self.known) >= CACHED:
-                    self.known.clear()
-                hit = self.known[chunk] = [i for p in self.pieces(chunk) for i in self.ids(p)]
-            out.extend(hit)
-        return out
+                ids = array("i")
+                for piece in self.pieces(chunk):
+                    ids.extend(self.ids(piece))
+                hit = ids.tobytes()
+                if len(chunk) <= CACHED_CHARS:
+                    if len(self.known) >= CACHED:
+                        self.known.clear()
+                    self.known[chunk] = hit
+            out.append(hit)
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> list[int] | None:
+        return None if text is None else np.frombuffer(self.packed(text), np.int32).tolist()
 
     def decode(self, ids: list[int] | None) -> str | None:
         if ids is None:
@@ -177,8 +185,8 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
         codec = Codec(shared.value)
 
         def step(cols):
-            ids = [codec.encode(t) for t in cols["text"]]
-            back = [codec.decode(i) for i in ids]
+            ids = [None if t is None else np.frombuffer(codec.packed(t), np.int32) for t in cols["text"]]
+            back = [None if i is None else codec.decode(i.tolist()) for i in ids]
             return {
                 "doc_id": cols["doc_id"],
                 "ids": ids,

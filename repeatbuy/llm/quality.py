@@ -1,6 +1,6 @@
 """Quality classifier: subword embeddings, averaged per document, with a softmax output.
 
-Each word gives hashed features: itself, its character 3- to 5-grams, its shape, and whether it
+Each word gives hashed features: itself, its 3- to 5-grams, its shape, and whether it
 repeats the word before it. A document is the mean vector of its features. Vectors and output are
 learned together by plain numpy gradient descent on a bounded sample; as the output is linear, each
 feature's vector folds into one number per feature afterwards, which is all that scoring ships.
@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,21 +22,23 @@ by_value(__name__)
 
 BUCKETS = 1 << 16
 CACHED = 300_000
-SHAPES = ((re.compile(r"[A-ZÀ-ÖØ-Þ]"), "A"), (re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]"), "a"), (re.compile(r"\d"), "0"))
-REPEAT = xxhash.xxh32_intdigest(b"=repeat", 7) % BUCKETS
+SHAPE = bytes(
+    65 if 65 <= c < 91 else 97 if 97 <= c < 123 or c >= 128 else 48 if 48 <= c < 58 else c
+    for c in range(256)
+)
+RUN = re.compile(rb"(.)\1+", re.S)
+REPEAT = crc32(b"=repeat") % BUCKETS
 
 
 def word_features(word: bytes) -> list[int]:
-    text = word.decode("utf-8", "replace")
-    padded = f"<{text}>"
-    shape = text
-    for pattern, mark in SHAPES:
-        shape = pattern.sub(mark, shape)
-    shape = re.sub(r"(.)\1+", r"\1+", shape)
-    kinds = [f"w{text}", f"s{shape}"]
+    """Hashes of the word, its shape (kinds of characters, runs shortened) and its n-grams, which
+    are cut by bytes."""
+    ids = [crc32(word, 1) % BUCKETS, crc32(RUN.sub(rb"\1+", word.translate(SHAPE)), 2) % BUCKETS]
+    padded = b"<" + word + b">"
     if len(padded) <= 64:
-        kinds += [f"c{padded[i : i + n]}" for n in (3, 4, 5) for i in range(len(padded) - n + 1)]
-    return [xxhash.xxh32_intdigest(k.encode("utf-8", "replace"), 7) % BUCKETS for k in kinds]
+        for n in (3, 4, 5):
+            ids += [crc32(padded[i : i + n], n) % BUCKETS for i in range(len(padded) - n + 1)]
+    return ids
 
 
 def repeats(found: list[bytes]) -> int:
