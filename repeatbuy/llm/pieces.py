@@ -79,19 +79,31 @@ class Codec:
         if hit is None:
             if len(self.pairs) >= CACHED:
                 self.pairs.clear()
-            parts = list(left + right)
-            while True:
-                best, at = None, -1
-                for i in range(len(parts) - 1):
-                    found = self.plain.get(parts[i] + parts[i + 1])
-                    if found is not None and (best is None or found[0] > best):
-                        best, at = found[0], i
-                if at < 0:
-                    break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            hit = self.pairs[left, right] = parts == ([left, right] if left else [right])
+            hit = self.pairs[left, right] = self.merged(left, right)
         return hit
 
+    def merged(self, left: str, right: str) -> bool:
+        """Merges by rank, best first and leftmost among equals; False once a part of ``left`` is
+        joined to a part of ``right``."""
+        none = (-np.inf,)
+        parts, border = list(left + right), len(left)
+        scores = [self.plain.get(a + b, none)[0] for a, b in zip(parts, parts[1:])]
+        while scores:
+            best = max(scores)
+            if best == -np.inf:
+                break
+            at = scores.index(best)
+            if at == border - 1:
+                return False
+            border -= at < border - 1
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = self.plain.get(parts[at - 1] + parts[at], none)[0]
+            if at < len(scores):
+                scores[at] = self.plain.get(parts[at] + parts[at + 1], none)[0]
+        return len(parts) == (2 if left else 1)
+
     def pieces(self, chars: str) -> Iterator[str]:
         """Pieces of a text in order, each given out once no path can change it."""
         base = 0  # border up to which pieces are out
