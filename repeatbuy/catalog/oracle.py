@@ -293,6 +293,9 @@ SQL["w06_gap_to_next"] = with_(BASKETS, "SELECT cid, bid, days_until_next FROM b
 SQL["w07_order_number"] = with_(BASKETS, "SELECT cid, bid, order_number FROM b")
 SQL["w08_total_orders"] = with_(BASKETS, "SELECT cid, bid, total_orders FROM b")
 SQL["w09_last_per_group_item"] = with_([LINES, LAST], "SELECT cid, bid, checkoutdate FROM last")
+SQL["w09_last_per_group_pair"] = with_([LINES], """
+SELECT cid, iid, bid, price FROM lines
+QUALIFY row_number() OVER (PARTITION BY cid, iid ORDER BY checkoutdate DESC, bid DESC, price DESC) = 1""")
 SQL["w09_last_per_group_cat"] = with_([LINES, rollup("lines")], """
 SELECT cid, catid, bid, price FROM rolled
 QUALIFY row_number() OVER (PARTITION BY cid, catid ORDER BY checkoutdate DESC, bid DESC) = 1""")

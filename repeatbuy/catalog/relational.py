@@ -388,6 +388,11 @@ def _(ws):
     )
 
 
+@query("w09_last_per_group_pair")
+def _(ws):
+    return timeline.last_per_group(ws.raw, ["cid", "iid"], ["bid", "price"])
+
+
 @query("w09_last_per_group_cat")
 def _(ws):
     return timeline.last_per_group(

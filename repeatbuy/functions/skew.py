@@ -13,8 +13,6 @@ Two ideas cover every operator of the library:
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -108,6 +106,13 @@ def attach(
     return rows.join(facts, [*on, "_salt"], how).drop("_salt")
 
 
+def filled(df: DataFrame, name: str) -> Column:
+    """The column with a value of its type in place of NULL."""
+    kind = df.schema[name].dataType.simpleString()
+    value = "1970-01-01" if kind.startswith(("date", "timestamp")) else "0"
+    return F.coalesce(F.col(name), F.lit(value).cast(kind))
+
+
 def ordered(
     df: DataFrame,
     keys: Sequence[str],
@@ -123,14 +128,22 @@ def ordered(
 
     ``chunk`` must not decrease along ``order`` within a key (an hour of a timestamp, a block of
     order numbers). ``running`` are inclusive running sums, ``total`` sums over the whole key,
-    ``prev`` / ``nxt`` the value on the neighbouring row, NULL at the ends.
+    ``prev`` / ``nxt`` the value on the neighbouring row, NULL at the ends. Rows whose key is NULL
+    are a key of their own, and a NULL chunk comes first.
     """
     running, total, prev, nxt = (dict(m or {}) for m in (running, total, prev, nxt))
     rank = F.struct(*order)
-    # Rows and their summary are joined on keys and chunk. Saying up front that these are known
-    # keeps both sides of the plan alike, so the shuffle below them is done once.
-    known = reduce(and_, [F.col(c).isNotNull() for c in [*keys, "_chunk"]])
-    rows = df.withColumn("_chunk", chunk).filter(known)
+    # Rows and their summary are joined on keys and chunk. Filled values and a count of what is
+    # known stand for them, so that NULLs meet and both sides shuffle alike, once.
+    plain, keys = list(keys), [f"_key_{i}" for i in range(len(keys))]
+    rows = df.withColumn("_chunk", chunk)
+    known = sum((F.col(c).isNotNull().cast("int") * (1 << i) for i, c in enumerate(plain)), F.lit(0))
+    rows = rows.withColumns(
+        {k: filled(rows, c) for k, c in zip(keys, plain, strict=True)}
+        | {"_known": known, "_placed": F.col("_chunk").isNotNull().cast("int")}
+    ).withColumn("_chunk", filled(rows, "_chunk"))
+    if keys:
+        keys = [*keys, "_known"]
 
     summary = [F.sum(c).alias(f"_sum_{n}") for n, c in {**total, **running}.items()]
     if prev:
@@ -139,9 +152,9 @@ def ordered(
     if nxt:
         first = F.struct(*[c.alias(n) for n, c in nxt.items()])
         summary.append(F.min_by(first, rank).alias("_first"))
-    pieces = rows.groupBy(*keys, "_chunk").agg(*summary)
+    pieces = rows.groupBy(*keys, "_placed", "_chunk").agg(*summary)
 
-    along = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_chunk")
+    along = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_placed", "_chunk")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = [
@@ -153,9 +166,11 @@ def ordered(
         heads.append(F.lag("_last").over(along).alias("_prev"))
     if nxt:
         heads.append(F.lead("_first").over(along).alias("_next"))
-    joined = rows.join(pieces.select(*keys, "_chunk", *heads), [*keys, "_chunk"], "inner")
+    joined = rows.join(
+        pieces.select(*keys, "_placed", "_chunk", *heads), [*keys, "_placed", "_chunk"], "inner"
+    )
 
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    inside = Window.partitionBy(*keys, "_placed", "_chunk").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = [F.col(c) for c in df.columns]
     out += [(F.col(f"_before_{n}") + F.sum(c).over(upto)).alias(n) for n, c in running.items()]

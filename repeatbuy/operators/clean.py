@@ -58,7 +58,8 @@ def parent_name(classes: DataFrame) -> DataFrame:
     """Name of every class's parent; NULL for the root or an unknown parent."""
     parent = classes.select(
         F.col("classid").alias("primaryparentid"), F.col("class_name").alias("parent_name")
-    ).dropDuplicates(["primaryparentid"])
+    )
+    parent = parent.groupBy("primaryparentid").agg(F.min("parent_name").alias("parent_name"))
     return classes.join(parent, "primaryparentid", "left").select(
         *classes.columns, "parent_name"
     )

@@ -139,7 +139,8 @@ def reduced_class_features(
     code = sum(
         (F.col(n) * F.lit(1 << i) for i, n in enumerate(names)), start=F.lit(0)
     ).cast("int")
-    flagged = class_flags(products.select(key, "classid").distinct(), groups)
+    one = products.groupBy(key).agg(F.min("classid").alias("classid"))
+    flagged = class_flags(one, groups)
     flagged = flagged.withColumn("_pattern", code)
     cells = flagged.groupBy("_pattern", *names).agg(F.sqrt(F.count("*")).alias("_weight"))
     triples = cells.select(
@@ -161,7 +162,7 @@ def reduced_class_features(
     return flagged.join(F.broadcast(reduced), "_pattern").select(
         key,
         *[F.col("_unit")[i].alias(f"p_reduced_feat_{i + 1}") for i in range(rank)],
-    ).dropDuplicates([key])
+    )
 
 
 # --- pairs ---------------------------------------------------------------------------------

@@ -98,7 +98,7 @@ def context_columns(labels: DataFrame, baskets: DataFrame) -> DataFrame:
 
 def customer_bucket(cid="cid"):
     """0 … 999, a portable integer hash of the customer id."""
-    return F.pmod(F.col(cid).cast("bigint") * 7919 + 104729, F.lit(1000))
+    return F.pmod(F.pmod(F.col(cid).cast("bigint"), F.lit(1000)) * 7919 + 104729, F.lit(1000))
 
 
 def customer_split(train: DataFrame, test: DataFrame, percent: int = 70):

@@ -55,13 +55,13 @@ def standard_scale(train: DataFrame, columns: Sequence[str]) -> Scale:
         *[F.avg(c).alias(f"m_{c}") for c in columns],
         *[F.stddev_pop(c).alias(f"s_{c}") for c in columns],
     ).first()
-    return Scale({c: row[f"m_{c}"] for c in columns}, {c: row[f"s_{c}"] or 1.0 for c in columns})
+    return Scale({c: row[f"m_{c}"] or 0.0 for c in columns}, {c: row[f"s_{c}"] or 1.0 for c in columns})
 
 
 def max_scale(train: DataFrame, columns: Sequence[str]) -> Scale:
     """Divide by the train maximum; a column whose maximum is 0 is left alone."""
     row = train.agg(*[F.max(c).alias(c) for c in columns]).first()
-    return Scale({c: 0.0 for c in columns}, {c: float(row[c]) or 1.0 for c in columns})
+    return Scale({c: 0.0 for c in columns}, {c: float(row[c] or 0.0) or 1.0 for c in columns})
 
 
 # --- neighbours ----------------------------------------------------------------------------
