@@ -26,6 +26,7 @@ by_value(__name__)
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 CACHED = 800_000
+ONE = (1,)
 CACHED_CHARS = 64
 
 
@@ -62,14 +63,19 @@ class Codec:
         # Caches live with the model: a worker keeps a broadcast value from task to task.
         self.pairs: dict[tuple[str, str], bool] = model.setdefault("pairs", {})
         self.known: dict[str, bytes] = model.setdefault("known", {})
+        self.older: dict[str, bytes] = model.setdefault("older", {})
+        self.raw: dict[str, bytes] = model.setdefault("raw", {})
+        if not self.raw:
+            self.raw.update((p, array("i", [i]).tobytes()) for p, (_, i) in self.plain.items())
         self.sizes: dict[str, tuple[int, ...]] = model.setdefault("sizes", {})
-        if not self.sizes:  # sizes of the pieces that end in three characters, longest first
+        if not self.sizes:  # by an end of up to four characters: sizes of pieces, longest first
             found: dict[str, set[int]] = {}
             for p in self.plain:
-                if len(p) > 2:
-                    found.setdefault(p[-3:], set()).add(len(p))
-            for end, sizes in found.items():
-                self.sizes[end] = (*sorted(sizes, reverse=True), 2, 1)
+                found.setdefault(p[-4:], set()).add(len(p))
+            ends = {e[-k:] for e in found for k in (2, 3, 4)}
+            for end in ends:
+                shorter = {k for k in (1, 2, 3) if k == 1 or (k <= len(end) and end[-k:] in self.plain)}
+                self.sizes[end] = (*sorted(found.get(end, set()) | shorter, reverse=True),)
         crosses = any(SPACE in p.lstrip(SPACE) for p in self.plain)
         self.chunk = re.compile(".+" if crosses else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", re.S)
 
@@ -104,75 +110,98 @@ class Codec:
                 scores[at] = self.plain.get(parts[at] + parts[at + 1], none)[0]
         return len(parts) == (2 if left else 1)
 
-    def pieces(self, chars: str) -> Iterator[str]:
-        """Pieces of a text in order, each given out once no path can change it."""
-        base = 0  # border up to which pieces are out
-        last = [0]  # length of the last piece of each prefix from base on; 0: no path
+    def pieces(self, chars: str) -> Iterator[list[str]]:
+        """Pieces of a text in order, given out in lists once no path can change them."""
+        plain, pairs, holds, by_end = self.plain, self.pairs, self.holds, self.sizes
+        base = done = 0  # border up to which pieces are out, and up to which prefixes are searched
+        last = [""]  # last piece of each prefix from base on; empty: no path
         ends = len(chars)
         look = 4 * self.longest
-        for i in range(1, ends + 1):
-            size = 0
-            for k in self.sizes.get(chars[i - 3 : i], (2, 1)) if i > 2 else (2, 1):
-                if k > i - base:
-                    continue
-                piece = chars[i - k : i]
-                before = last[i - k - base]
-                if (k == 1 or piece in self.plain) and (before or i - k == base):
-                    left = chars[i - k - before : i - k]
-                    if self.holds(left, piece):
-                        size = k
-                        break
-            last.append(size)
-            if i - base >= look and i < ends:
-                border = self.meeting(last, i - base)
+        while done < ends:
+            stop = min(base + look, ends)
+            for i in range(done + 1, stop + 1):
+                found = ""
+                room = i - base
+                start = i - 4 if i > 4 else 0
+                for k in (
+                    by_end.get(chars[start:i])
+                    or by_end.get(chars[max(i - 3, 0) : i])
+                    or by_end.get(chars[max(i - 2, 0) : i], ONE)
+                ):
+                    if k > room:
+                        continue
+                    left = last[room - k]
+                    if left or k == room:
+                        piece = chars[i - k : i]
+                        if k < 5 or piece in plain:
+                            hit = pairs.get((left, piece))
+                            if hit is None:
+                                hit = holds(left, piece)
+                            if hit:
+                                found = piece
+                                break
+                last.append(found)
+            done = stop
+            if done < ends:
+                border = self.meeting(last, done - base)
                 if border > 1:
                     # The piece before the border stays in the window: the next pair needs it.
-                    keep = border - last[border]
-                    yield from self.path(chars, base, last, keep)
-                    base, last = base + keep, [0, *last[keep + 1 :]]
-                look = (i - base) + 2 * self.longest
-        yield from self.path(chars, base, last, ends - base)
+                    keep = border - len(last[border])
+                    yield self.path(last, keep)
+                    base, last = base + keep, ["", *last[keep + 1 :]]
+                look = (done - base) + 2 * self.longest
+        yield self.path(last, ends - base)
 
-    def meeting(self, last: list[int], end: int) -> int:
+    def meeting(self, last: list[str], end: int) -> int:
         """The last border that the paths of all prefixes in the window share."""
         heads = {j for j in range(max(0, end - self.longest + 1), end + 1) if last[j]}
         while len(heads) > 1:
             far = max(heads)
             heads.remove(far)
-            heads.add(far - last[far])
+            heads.add(far - len(last[far]))
         return heads.pop() if heads else 0
 
     @staticmethod
-    def path(chars: str, base: int, last: list[int], end: int) -> list[str]:
+    def path(last: list[str], end: int) -> list[str]:
         out = []
         while end > 0:
-            out.append(chars[base + end - last[end] : base + end])
-            end -= last[end]
+            out.append(last[end])
+            end -= len(last[end])
         return out[::-1]
 
-    def ids(self, piece: str) -> list[int]:
+    def ids(self, piece: str) -> bytes:
+        """Ids of a piece as 32-bit numbers."""
         found = self.plain.get(piece)
         if found is not None:
-            return [found[1]]
+            return array("i", [found[1]]).tobytes()
         if self.bytes:
-            return [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
-        return [self.unknown]
+            return array("i", [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]).tobytes()
+        return array("i", [self.unknown]).tobytes()
+
+    def searched(self, chunk: str) -> bytes:
+        """Ids of a chunk; short chunks go to the cache, whose older half is forgotten when full."""
+        hit = self.older.get(chunk)
+        if hit is None:
+            raw = self.raw
+            out = []
+            for pieces in self.pieces(chunk):
+                for piece in pieces:
+                    out.append(raw.get(piece) or self.ids(piece))
+            hit = b"".join(out)
+        if len(chunk) <= CACHED_CHARS:
+            if len(self.known) >= CACHED // 2:
+                self.older.clear()
+                self.older.update(self.known)
+                self.known.clear()
+            self.known[chunk] = hit
+        return hit
 
     def packed(self, text: str) -> bytes:
         """Ids of a text as 32-bit numbers."""
-        out: list[bytes] = []
-        for chunk in self.chunk.findall(SPACE + text.replace(" ", SPACE)) if text else ():
-            hit = self.known.get(chunk)
-            if hit is None:
-                ids = array("i")
-                for piece in self.pieces(chunk):
-                    ids.extend(self.ids(piece))
-                hit = ids.tobytes()
-                if len(chunk) <= CACHED_CHARS:
-                    if len(self.known) >= CACHED:
-                        self.known.clear()
-                    self.known[chunk] = hit
-            out.append(hit)
+        chunks = self.chunk.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        out = list(map(self.known.get, chunks))
+        if None in out:
+            out = [self.searched(c) if hit is None else hit for hit, c in zip(out, chunks)]
         return b"".join(out)
 
     def encode(self, text: str | None) -> list[int] | None:
