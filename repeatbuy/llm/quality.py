@@ -41,6 +41,73 @@ def word_features(word: bytes) -> list[int]:
     return ids
 
 
+def crc_table() -> np.ndarray:
+    """The checksum's step for each value of its low byte: what ``crc32`` makes of one byte, freed
+    of the bits that it starts and ends with."""
+    ends = 0xFFFFFFFF ^ (0xFFFFFFFF >> 8)
+    return np.array([crc32(bytes([b ^ 0xFF])) ^ ends for b in range(256)], np.uint32)
+
+
+STEPS = crc_table()
+
+
+def grams(data: np.ndarray, n: int) -> np.ndarray:
+    """``crc32(bytes, n)`` of the n bytes from every position on that has so many."""
+    state = np.full(max(0, len(data) - n + 1), np.uint32(n) ^ np.uint32(0xFFFFFFFF), np.uint32)
+    for k in range(n):
+        state = STEPS[(state ^ data[k : k + len(state)]) & np.uint32(255)] ^ (state >> np.uint32(8))
+    return state ^ np.uint32(0xFFFFFFFF)
+
+
+def word_sums(found: list[bytes], model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the model's numbers over the features of each word, and how many features it has: as
+    by ``word_features``, for many words at once."""
+    total = np.zeros(len(found))
+    for kind, names in (
+        (1, found),
+        (2, [RUN.sub(rb"\1+", w.translate(SHAPE)) for w in found]),
+    ):
+        total += model[np.fromiter((crc32(w, kind) % BUCKETS for w in names), np.int64, len(found))]
+    size = np.full(len(found), 2, np.int64)
+    short = np.fromiter((len(w) <= 62 for w in found), bool, len(found))
+    padded = [b"<" + w + b">" for w in found if len(w) <= 62]
+    if padded:
+        widths = np.fromiter(map(len, padded), np.int64, len(padded))
+        starts = np.cumsum(widths) - widths
+        data = np.frombuffer(b"".join(padded), np.uint8).astype(np.uint32)
+        left = np.repeat(starts + widths, widths) - np.arange(len(data))  # bytes up to the word's end
+        sums = np.zeros(len(data))
+        for n in (3, 4, 5):
+            ids = (grams(data, n) % np.uint32(BUCKETS)).astype(np.int64)
+            sums[: len(ids)] += np.where(left[: len(ids)] >= n, model[ids], 0.0)
+            size[short] += np.maximum(widths - n + 1, 0)
+        total[short] += np.add.reduceat(sums, starts)
+    return total, size
+
+
+class Known:
+    """Words seen, with their sums: a bounded cache, emptied when full."""
+
+    def __init__(self):
+        self.place: dict[bytes, int] = {}
+        self.sums, self.sizes = np.zeros(0), np.zeros(0, np.int64)
+
+    def places(self, found: list[bytes], model: np.ndarray) -> np.ndarray:
+        new = set(found).difference(self.place)
+        if len(self.place) + len(new) > CACHED:
+            self.place.clear()
+            new = set(found)
+        if new:
+            used = len(self.place)
+            fresh = list(new)
+            self.place.update(zip(fresh, range(used, used + len(fresh)), strict=True))
+            if len(self.place) > len(self.sums):
+                room = max(len(self.place), 2 * len(self.sums))
+                self.sums, self.sizes = np.resize(self.sums, room), np.resize(self.sizes, room)
+            self.sums[used : used + len(fresh)], self.sizes[used : used + len(fresh)] = word_sums(fresh, model)
+        return np.fromiter(map(self.place.__getitem__, found), np.int64, len(found))
+
+
 def repeats(found: list[bytes]) -> int:
     return sum(map(bytes.__eq__, found, found[1:]))
 
@@ -139,29 +206,23 @@ def score(docs: DataFrame, model: np.ndarray | None) -> DataFrame:
     Null and empty texts get the bias alone; without a model every score is 0.5.
     """
     # A worker keeps a broadcast value from task to task, and so the cache.
-    shared = docs.sparkSession.sparkContext.broadcast({"model": model, "cache": {}})
+    shared = docs.sparkSession.sparkContext.broadcast({"model": model})
 
     def make():
         model = shared.value["model"]
-        cache: dict[bytes, tuple[float, int]] = shared.value["cache"]
+        known = shared.value.setdefault("known", Known())
 
         def one(text):
             if model is None:
                 return 0.5
             found = words(text)
             total, n = 0.0, 0
-            for w, times in Counter(found).items():
-                hit = cache.get(w)
-                if hit is None:
-                    if len(cache) >= CACHED:
-                        cache.clear()
-                    ids = word_features(w)
-                    hit = cache[w] = (float(model[ids].sum()), len(ids))
-                total += times * hit[0]
-                n += times * hit[1]
-            if again := repeats(found):
-                total += 4 * again * model[REPEAT]
-                n += 4 * again
+            if found:
+                at = known.places(found, model)
+                total, n = known.sums[at].sum(), int(known.sizes[at].sum())
+                if again := int(np.count_nonzero(at[1:] == at[:-1])):
+                    total += 4 * again * model[REPEAT]
+                    n += 4 * again
             z = model[-1] + (total / n if n else 0.0)
             return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 

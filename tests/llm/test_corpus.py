@@ -215,6 +215,24 @@ def test_toxicity_held_out(docs, labels):
     assert sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.9
 
 
+def test_quality_sums_of_many_words_equal_each_words_features(texts):
+    model = quality.np.random.default_rng(0).normal(size=quality.BUCKETS + 1)
+    found = {w for t in list(texts.values())[:50] for w in quality.words(t)}
+    found = [*found, b"", b"a", "ñü".encode(), b"x" * 62, b"y" * 63, b"z" * 5000]
+    for w, total, size in zip(found, *quality.word_sums(found, model), strict=True):
+        ids = quality.word_features(w)
+        assert size == len(ids) and total == pytest.approx(model[ids].sum())
+
+
+def test_quality_cache_forgets(monkeypatch):
+    model = quality.np.random.default_rng(0).normal(size=quality.BUCKETS + 1)
+    monkeypatch.setattr(quality, "CACHED", 4)
+    known = quality.Known()
+    for text in (b"a b c a", b"c d", b"e f g h i e", b"a", b"a b a"):
+        at = known.places(text.split(), model)
+        assert known.sums[at].tolist() == [quality.word_sums([w], model)[0][0] for w in text.split()]
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_classifiers_odd(spark, odd, empty, module):
     both = spark.createDataFrame(
