@@ -66,48 +66,72 @@ def max_scale(train: DataFrame, columns: Sequence[str]) -> Scale:
 
 # --- neighbours ----------------------------------------------------------------------------
 
-BLOCK = 1024
+MAX_TRAIN = 65_536
+#: Rows asked about at once: their distances to MAX_TRAIN points take 32 MB.
+ASKED = 64
 
 
-def _directions(n: int, seed: int) -> np.ndarray:
-    v = np.random.default_rng(seed).normal(size=n)
-    return v / np.linalg.norm(v)
+def labelled_points(
+    rows: DataFrame, columns: Sequence[str], most: int, seed: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct points of ``rows`` in column order, the rows at each, and those of class 1.
 
-
-def _along(columns: Sequence[str], seed: int):
-    """Position of a row on a seeded random line through feature space."""
-    return sum(
-        (F.col(c) * F.lit(float(w)) for c, w in zip(columns, _directions(len(columns), seed))),
-        start=F.lit(0.0),
+    All points if there are at most ``most``, else about that many by a seeded hash, so what is
+    collected is bounded. Rows with an unknown feature have no distance and are left out.
+    """
+    x = [F.col(c).cast("double").alias(c) for c in columns]
+    known = rows.select(*x, (F.col(LABEL) == 1).cast("long").alias("_one")).dropna()
+    points = known.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"), F.sum("_one").alias("_one"))
+    size = points.count()
+    if size > most:
+        draw = F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 32))
+        points = points.filter(draw < int(most / size * (1 << 32)))
+    found = points.toPandas().sort_values(list(columns), kind="stable")
+    return (
+        found[list(columns)].to_numpy(float),
+        found["_n"].to_numpy(np.int64),
+        found["_one"].to_numpy(np.int64),
     )
 
 
-def _blocks(rows: DataFrame, columns: Sequence[str], key: str, seed: int) -> DataFrame:
-    """Rows range-partitioned and sorted along the line; equal rows spread by their key."""
-    placed = rows.withColumn("_line", _along(columns, seed))
-    return placed.repartitionByRange("_line", key).sortWithinPartitions("_line", key)
+def _nearest(asked: np.ndarray, pool: np.ndarray, k: int) -> np.ndarray:
+    """Indices of the k nearest pool points of every asked point, ties in the pool's order.
 
-
-def _nearest(query: np.ndarray, pool: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and distances of the k nearest pool rows for every query row."""
-    gap = (query**2).sum(1)[:, None] + (pool**2).sum(1)[None, :] - 2 * query @ pool.T
-    k = min(k, pool.shape[0])
-    near = np.argpartition(gap, k - 1, axis=1)[:, :k]
-    dist = np.take_along_axis(gap, near, axis=1)
-    order = np.argsort(dist, axis=1, kind="stable")
-    return np.take_along_axis(near, order, axis=1), np.take_along_axis(dist, order, axis=1)
+    Products of matrices find candidates within a margin of rounding; plain distances order them.
+    """
+    k = min(k, len(pool))
+    norms, own = (pool**2).sum(1), (asked**2).sum(1)
+    gap = norms - 2 * asked @ pool.T
+    margin = 1e-12 * (norms.max() + own)
+    last = np.partition(gap, k - 1, axis=1)[:, k - 1] + margin
+    out = np.empty((len(asked), k), np.int64)
+    for i, row in enumerate(gap):
+        at = np.flatnonzero(row <= last[i])
+        exact = ((pool[at] - asked[i]) ** 2).sum(1)
+        out[i] = at[np.argsort(exact, kind="stable")[:k]]
+    return out
+
+
+def _uniform(seed: int, place: np.ndarray, copy: np.ndarray) -> np.ndarray:
+    """Numbers in [0, 1) that depend on a row's place and copy only, not on batches."""
+    x = place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + copy.astype(np.uint64)
+    x = (x + np.uint64(seed)) * np.uint64(0xBF58476D1CE4E5B9)
+    for factor in (0x94D049BB133111EB, 0xC2B2AE3D27D4EB4F):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(factor)
+    return (x >> np.uint64(11)) / float(1 << 53)
 
 
 def smote(
-    rows: DataFrame, columns: Sequence[str], key: str, k: int = 5, seed: int = 42
+    rows: DataFrame, columns: Sequence[str], key: str, k: int = 5, seed: int = 42,
+    max_train: int = MAX_TRAIN,
 ) -> DataFrame:
     """Balance the classes: add class-1 rows on the line between a class-1 row and one of its k
     nearest class-1 neighbours.
 
-    Neighbours are looked for among the ``BLOCK`` rows next to a row along a line through feature
-    space, so the work per row is bounded whatever the data looks like; this is an approximate
-    nearest-neighbour search. Every class-1 row yields the same number of new rows, and the
-    remainder goes to rows in hash order. New rows carry NULL in ``key``.
+    Every class-1 row is compared with all distinct class-1 points, or with about ``max_train`` of
+    them by a seeded hash where there are more. Copies of a row are its neighbours. Every class-1
+    row yields the same number of new rows, and the remainder goes to rows in hash order. A row
+    with an unknown feature is repeated as it is. New rows carry NULL in ``key``.
     """
     counts = rows.agg(
         F.count_if(F.col(LABEL) == 1).alias("ones"), F.count_if(F.col(LABEL) == 0).alias("zeros")
@@ -117,36 +141,46 @@ def smote(
         return rows.select(key, *columns, LABEL)
     whole, rest = divmod(missing, ones)
     columns = list(columns)
+    positive = rows.filter(F.col(LABEL) == 1)
+    pool, weight, _ = labelled_points(positive, columns, max_train, seed)
+    shared = rows.sparkSession.sparkContext.broadcast((pool, weight))
+
+    def neighbours(x):
+        """A row of up to k pool indices for each point; -1 stands for the point itself."""
+        pool, weight = shared.value
+        out = [[-1]] * len(x)
+        known = np.flatnonzero(~np.isnan(x).any(axis=1))
+        if len(pool) and len(known):
+            for i, near in zip(known, _nearest(x[known], pool, k + 1), strict=True):
+                others = weight[near] - (pool[near] == x[i]).all(axis=1)
+                found = np.repeat(near, np.minimum(others, k))[:k]
+                out[i] = found if len(found) else [-1]
+        return out
 
     def grow(batches):
+        pool, _ = shared.value
         for pdf in batches:
-            for start in range(0, len(pdf), BLOCK):
-                part = pdf.iloc[start : start + BLOCK]
-                x = part[columns].to_numpy(float)
-                if len(x) == 1:  # no neighbour in the block: repeat the row
-                    near = np.zeros((1, 1), dtype=int)
-                else:
-                    near, _ = _nearest(x, x, k + 1)
-                    own = near == np.arange(len(x))[:, None]
-                    # Drop the row itself; among exact copies it may be absent, then drop the last.
-                    own[~own.any(axis=1), -1] = True
-                    near = near[~own].reshape(len(x), -1)
-                times = part["_times"].to_numpy(int)
+            pdf = pdf[pdf["_times"] > 0]
+            for start in range(0, len(pdf), ASKED):
+                part = pdf.iloc[start : start + ASKED]
+                x, times = part[columns].to_numpy(float), part["_times"].to_numpy(int)
+                near = neighbours(x)
                 base = np.repeat(np.arange(len(x)), times)
-                if not len(base):
-                    continue
-                rng = np.random.default_rng([seed, int(part["_place"].iloc[0])])
-                pick = near[base, rng.integers(0, near.shape[1], len(base))]
-                step = rng.random(len(base))[:, None]
-                new = x[base] + step * (x[pick] - x[base])
-                yield pd.DataFrame(new, columns=columns)
-
-    minority = numbered(rows.filter(F.col(LABEL) == 1).select(key, *columns), key, seed)
+                place = part["_place"].to_numpy(np.int64)[base]
+                copy = np.concatenate([np.arange(t) for t in times])
+                which = _uniform(seed, place, 2 * copy)
+                pick = np.array([near[b][int(u * len(near[b]))] for b, u in zip(base, which, strict=True)])
+                other = np.where((pick < 0)[:, None], x[base], pool[pick] if len(pool) else x[base])
+                step = _uniform(seed, place, 2 * copy + 1)[:, None]
+                yield pd.DataFrame(x[base] + step * (other - x[base]), columns=columns)
+
+    typed = [F.col(c).cast("double").alias(c) for c in columns]
+    minority = numbered(positive.select(key, *typed), key, seed)
     extra = (F.col("_place") <= rest).cast("int")
-    minority = minority.withColumn("_times", F.lit(whole) + extra)
+    minority = minority.withColumn("_times", F.lit(whole) + extra).drop(key)
     schema = ", ".join(f"`{c}` double" for c in columns)
-    new = _blocks(minority, columns, key, seed).mapInPandas(grow, schema)
-    original = rows.select(key, *[F.col(c).cast("double").alias(c) for c in columns], LABEL)
+    new = minority.mapInPandas(grow, schema)
+    original = rows.select(key, *typed, LABEL)
     key_type = dict(original.dtypes)[key]
     made = new.select(
         F.lit(None).cast(key_type).alias(key), *columns, F.lit(1).cast(dict(rows.dtypes)[LABEL]).alias(LABEL)
@@ -156,59 +190,57 @@ def smote(
 
 def knn_votes(
     train: DataFrame, test: DataFrame, columns: Sequence[str], key: str, k: int = 10,
-    seed: int = 42, up_to: int | None = None,
+    seed: int = 42, up_to: int | None = None, max_train: int = MAX_TRAIN,
 ) -> DataFrame:
-    """Class-1 votes among the nearest train rows of every test row.
+    """Class-1 votes among the k nearest train rows of every test row.
 
-    Train and test rows are laid along one line and cut into blocks; a test row is compared with
-    the train rows of its block and the last ones before it (approximate neighbours, bounded work
-    per row). With ``up_to`` the result has a row per number of neighbours 1 … up_to.
+    Every test row is compared with all distinct points of ``train``, or with about ``max_train``
+    of them by a seeded hash where there are more. Train rows at one point vote with their mean;
+    points at the same distance come in the order of their columns. Without train rows, or with an
+    unknown feature, a test row's probability and class are NULL. With ``up_to`` the result has a
+    row per number of neighbours 1 … up_to.
     """
     columns = list(columns)
-    sizes = [k] if up_to is None else list(range(1, up_to + 1))
-    width = max(sizes)
+    sizes = np.array([k] if up_to is None else range(1, up_to + 1))
+    shared = train.sparkSession.sparkContext.broadcast(labelled_points(train, columns, max_train, seed))
+
+    def shares(x):
+        """Class-1 share among the nearest rows, for every point and number of neighbours."""
+        pool, weight, ones = shared.value
+        out = np.full((len(x), len(sizes)), np.nan)
+        known = np.flatnonzero(~np.isnan(x).any(axis=1))
+        if len(pool) and len(known):
+            near = _nearest(x[known], pool, sizes[-1])
+            upto = np.cumsum(weight[near], axis=1)
+            for j, n in enumerate(sizes):
+                taken = np.clip(n - (upto - weight[near]), 0, weight[near])
+                out[known, j] = (taken * ones[near] / weight[near]).sum(1) / taken.sum(1)
+        return out
 
     def vote(batches):
-        before = None
         for pdf in batches:
-            for start in range(0, len(pdf), 2 * BLOCK):
-                part = pdf.iloc[start : start + 2 * BLOCK]
-                is_test = part["_test"].to_numpy(bool)
-                asked = part[is_test]
-                pool = pd.concat([before, part[~is_test]]) if before is not None else part[~is_test]
-                before = pool.tail(BLOCK)
-                if asked.empty:
-                    continue
-                truth = asked["_y"].to_numpy(int)
-                if pool.empty:  # nothing to vote: unknown probability
-                    votes = np.full((len(asked), 1), np.nan)
-                else:
-                    near, _ = _nearest(
-                        asked[columns].to_numpy(float), pool[columns].to_numpy(float), width
-                    )
-                    votes = pool["_y"].to_numpy(float)[near]
-                for n in sizes:
+            for start in range(0, len(pdf), ASKED):
+                part = pdf.iloc[start : start + ASKED]
+                found = shares(part[columns].to_numpy(float))
+                for j, n in enumerate(sizes):
                     yield pd.DataFrame(
                         {
-                            key: asked[key].to_numpy(),
+                            key: part[key].to_numpy(),
                             "neighbours": n,
-                            "y_test": truth,
-                            "y_test_prob": votes[:, :n].mean(axis=1),
+                            "y_test": part["_y"].to_numpy(),
+                            "y_test_prob": found[:, j],
                         }
                     )
 
-    def side(df, flag):
-        return df.select(
-            F.col(key).cast("string").alias(key), *[F.col(c).cast("double").alias(c) for c in columns],
-            F.col(LABEL).cast("int").alias("_y"), F.lit(flag).alias("_test"),
-        )
-
-    both = side(train, False).unionByName(side(test, True))
+    asked = test.select(
+        F.col(key).cast("string").alias(key), *[F.col(c).cast("double").alias(c) for c in columns],
+        F.col(LABEL).cast("int").alias("_y"),
+    )
     schema = f"`{key}` string, neighbours int, y_test int, y_test_prob double"
-    votes = _blocks(both, columns, key, seed).mapInPandas(vote, schema)
+    votes = asked.mapInPandas(vote, schema)
     prob = F.when(~F.isnan("y_test_prob"), F.col("y_test_prob"))
     return votes.withColumn("y_test_prob", prob).withColumn(
-        "y_test_prediction", F.coalesce((F.col("y_test_prob") > 0.5).cast("int"), F.lit(0))
+        "y_test_prediction", (F.col("y_test_prob") > 0.5).cast("int")
     )
 
 

@@ -59,21 +59,75 @@ def test_knn(rows):
     assert curve.count() == 5
 
 
-def test_knn_equals_brute_force_in_one_block(spark):
+def settings(spark, partitions, batch):
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+
+
+@pytest.fixture
+def dealt(spark):
+    """The same work with few and many partitions, small and large batches."""
+    yield [(2, 500), (8, 10_000)]
+    settings(spark, 8, 10_000)
+
+
+def test_knn_equals_brute_force(spark, dealt):
     rng = np.random.default_rng(3)
-    x, y = rng.normal(size=(60, 2)), rng.integers(0, 2, 60)
-    data = [(str(i), float(a), float(b), int(t)) for i, ((a, b), t) in enumerate(zip(x, y))]
-    df = spark.createDataFrame(data, f"row_id string, a double, b double, {LABEL} int").coalesce(1)
-    train, test = df.filter("row_id >= 20"), df.filter("row_id < 20")
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
-    try:
-        got = {r["row_id"]: r["y_test_prob"] for r in
-               prepare.knn_votes(train, test, ["a", "b"], "row_id", k=5).collect()}
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "8")
-    for i in range(20):
-        near = np.argsort(((x[20:] - x[i]) ** 2).sum(1))[:5]
-        assert got[str(i)] == pytest.approx(y[20:][near].mean())
+    x, y = rng.normal(size=(3000, 6)) * [1, 1, 1, 1, 1, 1000], rng.integers(0, 2, 3000)
+    columns = [f"c{i}" for i in range(6)]
+    data = [(str(i), *map(float, p), int(t)) for i, (p, t) in enumerate(zip(x, y))]
+    names = ", ".join(f"{c} double" for c in columns)
+    df = spark.createDataFrame(data, f"row_id string, {names}, {LABEL} int").repartition(12, "row_id")
+    train, test = df.filter("row_id >= 600"), df.filter("row_id < 600")
+    for partitions, batch in dealt:
+        settings(spark, partitions, batch)
+        votes = prepare.knn_votes(train, test, columns, "row_id", k=5)
+        got = {r["row_id"]: r["y_test_prob"] for r in votes.collect()}
+        assert len(got) == 600
+        for i in range(600):
+            near = np.argsort(((x[600:] - x[i]) ** 2).sum(1), kind="stable")[:5]
+            assert got[str(i)] == pytest.approx(y[600:][near].mean())
+
+
+def test_knn_copies_unknown_features_and_no_train_rows(spark):
+    schema = f"row_id string, a double, {LABEL} int"
+    train = spark.createDataFrame([("1", 0.0, 1), ("2", 0.0, 0), ("3", 0.0, 1), ("4", 9.0, 0), ("5", None, 1)], schema)
+    test = spark.createDataFrame([("6", 1.0, 1), ("7", None, 0), (None, 8.0, None)], schema)
+    got = {r["row_id"]: r for r in prepare.knn_votes(train, test, ["a"], "row_id", k=2).collect()}
+    assert got["6"]["y_test_prob"] == pytest.approx(2 / 3) and got["6"]["y_test_prediction"] == 1
+    assert got["7"]["y_test_prob"] is None and got["7"]["y_test_prediction"] is None
+    assert got[None]["y_test_prob"] == pytest.approx(1 / 3) and got[None]["y_test"] is None
+    few = prepare.knn_votes(train, test.limit(1), ["a"], "row_id", k=50).first()
+    assert few["y_test_prob"] == pytest.approx(0.5)
+    none = prepare.knn_votes(train.limit(0), test, ["a"], "row_id")
+    assert [r["y_test_prob"] for r in none.collect()] == [None] * 3
+
+
+def test_new_rows_lie_between_nearest_neighbours(spark, dealt):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 4))
+    columns = list("abcd")
+    data = [(str(i), *map(float, p), int(i < 200)) for i, p in enumerate(x)]
+    df = spark.createDataFrame(data, f"row_id string, a double, b double, c double, d double, {LABEL} int")
+    seen = []
+    for partitions, batch in dealt:
+        settings(spark, partitions, batch)
+        out = prepare.smote(df, columns, "row_id").filter("row_id is null")
+        seen.append(sorted(tuple(r[c] for c in columns) for r in out.collect()))
+    assert seen[0] == seen[1] and len(seen[0]) == 300
+    gaps = ((x[:200, None] - x[None, :200]) ** 2).sum(2)
+    near = np.argsort(gaps, axis=1, kind="stable")[:, 1:6]
+    start, way = np.repeat(x[:200], 5, axis=0), (x[near] - x[:200, None]).reshape(-1, 4)
+    for point in np.array(seen[0]):
+        step = ((point - start) * way).sum(1) / (way**2).sum(1)
+        off = ((start + np.clip(step, 0, 1)[:, None] * way - point) ** 2).sum(1)
+        assert off.min() < 1e-18
+
+
+def test_bound_on_labelled_rows(spark, rows):
+    points, weight, ones = prepare.labelled_points(rows, COLUMNS, 300, 1)
+    assert 240 < len(points) < 360 and weight.sum() == len(points) and 0 < ones.sum() < len(points)
+    assert len(prepare.labelled_points(rows, COLUMNS, 1200, 1)[0]) == 1200
 
 
 @pytest.mark.parametrize("fit", [
