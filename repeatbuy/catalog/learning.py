@@ -274,11 +274,10 @@ def _(ws):
     frames = ws.frames
     model = fitted(ws, "forest")
 
-    def score(m, rows):
-        return m.transform(prepare.select_features(rows, frames.columns, [ROW]))
+    def score(m, rows, keep):
+        return m.transform(prepare.select_features(rows, frames.columns, [ROW, *keep]))
 
-    few = ["u_t_reorder_rate", "max_streak_cat", "day_of_week"]
-    return evaluate.permutation_importance(model, frames.test, few, LABEL, ROW, score, repeats=2)
+    return evaluate.permutation_importance(model, frames.test, frames.columns, LABEL, ROW, score)
 
 
 @query("v07_model_importance")

@@ -155,8 +155,8 @@ def test_models_learn(vectors, fit):
 def test_importance_finds_the_signal(rows, vectors):
     model = models.logistic_regression().fit(vectors)
 
-    def score(m, df):
-        return m.transform(prepare.select_features(df, COLUMNS, ["row_id"]))
+    def score(m, df, keep):
+        return m.transform(prepare.select_features(df, COLUMNS, ["row_id", *keep]))
 
     out = evaluate.permutation_importance(model, rows, COLUMNS, LABEL, "row_id", score, repeats=2)
     got = {r["feature"]: r["importance"] for r in out.collect()}
