@@ -133,7 +133,7 @@ def fitted(ws, name):
             "gnb": lambda: models.gaussian_nb().fit(train),
             "tree": lambda: models.decision_tree(maxDepth=8).fit(train),
             "forest": lambda: models.random_forest(
-                numTrees=20, maxDepth=8, minInstancesPerNode=10
+                numTrees=100, maxDepth=8, minInstancesPerNode=10
             ).fit(train),
             "extra": lambda: models.fit_extra_trees(train, n, trees=5),
             "ada": lambda: models.fit_ada_boost(train, rounds=10),
