@@ -1,6 +1,6 @@
 """Quality classifier: subword embeddings, averaged per document, with a softmax output.
 
-Each word gives hashed features: itself, its 3- to 5-grams, its shape, and whether it
+Each word gives hashed features: itself, its character 3- to 5-grams, its shape, and whether it
 repeats the word before it. A document is the mean vector of its features. Vectors and output are
 learned together by plain numpy gradient descent on a bounded sample; as the output is linear, each
 feature's vector folds into one number per feature afterwards, which is all that scoring ships.
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
@@ -28,61 +29,87 @@ SHAPE = bytes(
 )
 RUN = re.compile(rb"(.)\1+", re.S)
 REPEAT = crc32(b"=repeat") % BUCKETS
+SIZES = (3, 4, 5)  # of character n-grams
+BLOCK = 1 << 16  # code points hashed at once
+FACTOR, MIX = np.uint32(0x9E3779B1), np.uint32(0x846CA68B)
+
+
+def shape(word: bytes) -> bytes:
+    """Kinds of characters (capital, letter, digit, any other as it is), runs shortened."""
+    if word.isascii():
+        kinds = word.translate(SHAPE)
+    else:
+        text = word.decode("utf-8", "surrogatepass")
+        kinds = "".join(
+            "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in text
+        ).encode("utf-8", "surrogatepass")
+    return RUN.sub(rb"\1+", kinds)
+
+
+def whole(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and of their shapes."""
+    own = np.fromiter((crc32(w, 1) % BUCKETS for w in words), np.int64, len(words))
+    return own, np.fromiter((crc32(shape(w), 2) % BUCKETS for w in words), np.int64, len(words))
+
+
+def grams(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each n with the hashes of the n code points from every place on that has so many."""
+    state = data * FACTOR
+    for n in range(2, SIZES[-1] + 1):
+        state = (state[: max(0, len(data) - n + 1)] ^ data[n - 1 :]) * FACTOR
+        if n in SIZES:
+            ids = state + np.uint32(n)
+            ids = (ids ^ (ids >> np.uint32(15))) * MIX
+            yield n, ((ids ^ (ids >> np.uint32(16))) % np.uint32(BUCKETS)).astype(np.int64)
+
+
+def blocks(texts: list[str], widths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+    """Code points of the texts, each within < and >, in blocks of about ``BLOCK``: the numbers of a
+    block's texts, the places where they start, and for each n the hashes at all places, with which
+    of them count. A longer text has several blocks, and each n-gram counts in one of them."""
+    ends, at, reach = np.cumsum(widths), 0, SIZES[-1] - 1
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] - widths[at] + BLOCK, "right")))
+        joined = "".join([f"<{t}>" for t in texts[at:end]])
+        starts = ends[at:end] - widths[at:end]
+        starts = starts - starts[0]
+        for begin in range(0, max(1, len(joined) - reach), BLOCK if end == at + 1 else len(joined)):
+            part = joined[begin : begin + BLOCK + reach] if end == at + 1 else joined
+            data = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+            # Points up to the text's end, 0 for the places that the next block counts.
+            left = np.repeat(starts + widths[at:end], widths[at:end])[begin : begin + len(data)]
+            left = left - np.arange(begin, begin + len(data))
+            if begin + len(data) < len(joined):
+                left[BLOCK:] = 0
+            yield np.arange(at, end), starts, [(ids, left[: len(ids)] >= n) for n, ids in grams(data)]
+        at = end
+
+
+def decoded(found: list[bytes]) -> tuple[list[str], np.ndarray]:
+    texts = [w.decode("utf-8", "surrogatepass") for w in found]
+    return texts, np.fromiter(map(len, texts), np.int64, len(texts)) + 2
 
 
 def word_features(word: bytes) -> list[int]:
     """Hashes of the word, its shape (kinds of characters, runs shortened) and its n-grams, which
-    are cut by bytes."""
-    ids = [crc32(word, 1) % BUCKETS, crc32(RUN.sub(rb"\1+", word.translate(SHAPE)), 2) % BUCKETS]
-    padded = b"<" + word + b">"
-    if len(padded) <= 64:
-        for n in (3, 4, 5):
-            ids += [crc32(padded[i : i + n], n) % BUCKETS for i in range(len(padded) - n + 1)]
+    are cut by characters."""
+    ids = [int(i[0]) for i in whole([word])]
+    for _, _, found in blocks(*decoded([word])):
+        ids += [i for at, counts in found for i in at[counts].tolist()]
     return ids
 
 
-def crc_table() -> np.ndarray:
-    """The checksum's step for each value of its low byte: what ``crc32`` makes of one byte, freed
-    of the bits that it starts and ends with."""
-    ends = 0xFFFFFFFF ^ (0xFFFFFFFF >> 8)
-    return np.array([crc32(bytes([b ^ 0xFF])) ^ ends for b in range(256)], np.uint32)
-
-
-STEPS = crc_table()
-
-
-def grams(data: np.ndarray, n: int) -> np.ndarray:
-    """``crc32(bytes, n)`` of the n bytes from every position on that has so many."""
-    state = np.full(max(0, len(data) - n + 1), np.uint32(n) ^ np.uint32(0xFFFFFFFF), np.uint32)
-    for k in range(n):
-        state = STEPS[(state ^ data[k : k + len(state)]) & np.uint32(255)] ^ (state >> np.uint32(8))
-    return state ^ np.uint32(0xFFFFFFFF)
-
-
 def word_sums(found: list[bytes], model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sum of the model's numbers over the features of each word, and how many features it has: as
     by ``word_features``, for many words at once."""
-    total = np.zeros(len(found))
-    for kind, names in (
-        (1, found),
-        (2, [RUN.sub(rb"\1+", w.translate(SHAPE)) for w in found]),
-    ):
-        total += model[np.fromiter((crc32(w, kind) % BUCKETS for w in names), np.int64, len(found))]
-    size = np.full(len(found), 2, np.int64)
-    short = np.fromiter((len(w) <= 62 for w in found), bool, len(found))
-    padded = [b"<" + w + b">" for w in found if len(w) <= 62]
-    if padded:
-        widths = np.fromiter(map(len, padded), np.int64, len(padded))
-        starts = np.cumsum(widths) - widths
-        data = np.frombuffer(b"".join(padded), np.uint8).astype(np.uint32)
-        left = np.repeat(starts + widths, widths) - np.arange(len(data))  # bytes up to the word's end
-        sums = np.zeros(len(data))
-        for n in (3, 4, 5):
-            ids = (grams(data, n) % np.uint32(BUCKETS)).astype(np.int64)
-            sums[: len(ids)] += np.where(left[: len(ids)] >= n, model[ids], 0.0)
-            size[short] += np.maximum(widths - n + 1, 0)
-        total[short] += np.add.reduceat(sums, starts)
-    return total, size
+    total = sum((model[ids] for ids in whole(found)), np.zeros(len(found)))
+    texts, widths = decoded(found)
+    for numbers, starts, hashed in blocks(texts, widths):
+        sums = np.zeros(len(hashed[0][0]) + SIZES[0] - 1)
+        for ids, counts in hashed:
+            sums[: len(ids)] += np.where(counts, model[ids], 0.0)
+        total[numbers] += np.add.reduceat(sums, starts)
+    return total, 2 + sum(np.maximum(widths - n + 1, 0) for n in SIZES)
 
 
 class Known:
@@ -112,26 +139,24 @@ def repeats(found: list[bytes]) -> int:
     return sum(map(bytes.__eq__, found, found[1:]))
 
 
-def document_features(text: str | None, cache: dict) -> tuple[np.ndarray, np.ndarray]:
+def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features of a text and their weights, which sum to 1 (or none)."""
     found = words(text)
-    total: Counter = Counter()
-    for w, n in Counter(found).items():
-        ids = cache.get(w)
-        if ids is None:
-            if len(cache) >= CACHED:
-                cache.clear()
-            ids = cache[w] = word_features(w)
-        for i in ids:
-            total[i] += n
-    if not total:
+    if not found:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    kinds = Counter(found)
+    times = np.fromiter(kinds.values(), np.float64, len(kinds))
+    total = sum(np.bincount(ids, times, BUCKETS) for ids in whole(list(kinds)))
+    texts, widths = decoded(list(kinds))
+    for numbers, _, hashed in blocks(texts, widths):
+        at = np.repeat(times[numbers], widths[numbers])
+        for ids, counts in hashed:
+            total += np.bincount(ids[counts], at[: len(ids)][counts], BUCKETS)
     # The mark of a repeated word stands beside the word's own ten or so features.
     if again := repeats(found):
         total[REPEAT] += 4 * again
-    ids = np.fromiter(total, np.int32, len(total))
-    weights = np.fromiter(total.values(), np.float32, len(total))
-    return ids, weights / weights.sum()
+    ids = np.flatnonzero(total).astype(np.int32)
+    return ids, (total[ids] / total.sum()).astype(np.float32)
 
 
 def train(
@@ -175,10 +200,8 @@ def fit(rows: DataFrame, label: str = "label", max_train: int = 1000) -> np.ndar
     sample = bounded_sample(rows, "label", max_train)
 
     def make():
-        cache: dict = {}
-
         def step(cols):
-            found = [document_features(t, cache) for t in cols["text"]]
+            found = [document_features(t) for t in cols["text"]]
             return {
                 "doc_id": cols["doc_id"],
                 "label": cols["label"],

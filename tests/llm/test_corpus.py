@@ -224,6 +224,36 @@ def test_quality_sums_of_many_words_equal_each_words_features(texts):
         assert size == len(ids) and total == pytest.approx(model[ids].sum())
 
 
+def test_quality_reads_long_words_by_characters(monkeypatch):
+    rng = random.Random(3)
+    for text in ("漢字仮名交" * 30, "".join(rng.choices("abc漢字é", k=700)), "é" * 3, "x" * 63):
+        padded = f"<{text}>"
+        many = sum(len(padded) - n + 1 for n in (3, 4, 5))
+        kinds = {padded[i : i + n] for n in (3, 4, 5) for i in range(len(padded) - n + 1)}
+        monkeypatch.setattr(quality, "BLOCK", 1 << 16)
+        ids = quality.word_features(text.encode())
+        assert len(ids) == many + 2 and 0.9 * len(kinds) <= len(set(ids)) <= len(kinds) + 2
+        model = rng.choices(range(100), k=quality.BUCKETS + 1)
+        model = quality.np.array(model, float)
+        for block in (8, 50, 699, 702):  # words before, within and across blocks
+            monkeypatch.setattr(quality, "BLOCK", block)
+            found = [b"ab", text.encode(), b"cde"]
+            assert sorted(quality.word_features(text.encode())) == sorted(ids)
+            total, size = quality.word_sums(found, model)
+            assert total[1] == model[ids].sum() and size[1] == many + 2
+            at, weights = quality.document_features(text)
+            assert dict(zip(at.tolist(), (weights * len(ids)).round().tolist())) == Counter(ids)
+
+
+def test_quality_tells_texts_without_spaces_apart(spark):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choices("天地玄黄" if i % 2 else "宇宙洪荒", k=80)), i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = quality.fit(df.filter("doc_id < 40"))
+    held = {r.doc_id: r.score for r in quality.score(df.filter("doc_id >= 40"), model).collect()}
+    assert len(held) == 20 and all((s > 0.5) == (i % 2 == 1) for i, s in held.items())
+
+
 def test_quality_cache_forgets(monkeypatch):
     model = quality.np.random.default_rng(0).normal(size=quality.BUCKETS + 1)
     monkeypatch.setattr(quality, "CACHED", 4)
