@@ -3,8 +3,8 @@
 The text's lines that hold a word are hashed. Every window, the fewest lines from some line on that
 hold ``min_words`` words together, selects its smallest line hash as fingerprint; a repeated run of
 that many words holds a whole window and so shares a fingerprint wherever it stands. Fingerprints
-found in one place only are dropped with their windows. Each window left is joined to its first
-position in the corpus and the match is extended. Later runs are deleted, the first stays.
+selected at one line only are dropped with their windows. Each window left is keyed alone and with
+each extension by following lines; what occurs earlier anywhere is deleted, the first stays.
 """
 
 from __future__ import annotations
@@ -45,8 +45,9 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 
 def windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """One row per window of ``min_words`` words: place, last place, hash of its lines, fingerprint,
-    and the lines of the next ``min_words`` words for extension."""
+    """One row per window of ``min_words`` words: place, last place, hash of its lines, fingerprint
+    with its place, and the lines after the window for extension: those that end less than
+    ``min_words`` words after its first line. A longer run without that line is a run itself."""
     doc = Window.partitionBy("id", "version")
     upto = doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("end", F.sum("n").over(upto)).withColumn("begin", F.col("end") - F.col("n"))
@@ -60,58 +61,52 @@ def windows(lines: DataFrame, min_words: int) -> DataFrame:
         "begin",
         F.max("end").over(frame).alias("reach"),
         F.max("pos").over(frame).alias("to"),
-        F.min("h").over(frame).alias("fingerprint"),
+        F.min(F.struct("h", "pos")).over(frame).alias("selected"),
         F.collect_list("h").over(frame).alias("seq"),
-        F.last("next").over(frame).alias("tail"),
+        "next",
     )
     return made.filter(F.col("reach") - F.col("begin") >= min_words).select(
         "id",
         "version",
         "pos",
         "to",
-        "fingerprint",
+        F.col("selected.h").alias("fingerprint"),
+        F.col("selected.pos").alias("at"),
         F.xxhash64("seq").alias("content"),
-        "tail",
+        F.filter("next", lambda x: x["pos"] > F.col("to")).alias("tail"),
     )
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """id, version and places (from, to) of later repeats: each window met before in the order of
-    (id, version, place), extended along its first position. Backwards a match need not be walked:
-    the window one line up is then a repeat itself."""
+    """id, version and places (from, to) of later repeats: each window, alone and extended, whose
+    lines were met before, wherever, in the order of (id, version, place). Backwards a match need
+    not be walked: the window one line up is then a repeat itself."""
     found = stage(windows(line_rows(docs), min_words), "windows")
-    place = F.struct("id", "version", "pos")
+    selected = F.struct("id", "version", "at")
     shared = (
         found.groupBy("fingerprint")
-        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
+        .agg(F.min(selected).alias("first"), F.max(selected).alias("last"))
         .filter("first != last")
         .select("fingerprint")
     )
-    seeds = found.join(shared, "fingerprint", "left_semi")
+    runs = F.expr(
+        "transform(sequence(0, size(tail)), i -> struct("
+        "xxhash64(content, slice(tail.h, 1, i)) as content, if(i = 0, to, get(tail, i - 1).pos) as to))"
+    )
+    seeds = (
+        found.join(shared, "fingerprint", "left_semi")
+        .select("id", "version", "pos", F.explode(runs).alias("run"))
+        .select("id", "version", "pos", "run.content", "run.to")
+    )
+    place = F.struct("id", "version", "pos")
     first = (
         seeds.groupBy("content")
-        .agg(
-            F.min(F.struct("id", "version", "pos", "tail")).alias("first"),
-            F.max(place).alias("last"),
-        )
-        .filter(F.struct("first.id", "first.version", "first.pos") != F.col("last"))
+        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
+        .filter("first != last")
         .select("content", "first")
     )
-    matched = seeds.join(first, "content").filter(
-        F.struct("id", "version", "pos") != F.struct("first.id", "first.version", "first.pos")
-    )
-    # Lines of the tail that agree, counted up to the first that doesn't.
-    agree = F.expr(
-        "array_position(transform(tail, (x, i) -> coalesce(x.h = get(first.tail, i).h, false)), false)"
-    )
-    more = F.when(agree > 0, agree - 1).otherwise(F.size("tail")).cast("int")
-    return matched.select(
-        "id",
-        "version",
-        F.col("pos").alias("from"),
-        F.when(more > 0, F.element_at("tail", F.greatest(more, F.lit(1)))["pos"])
-        .otherwise(F.col("to"))
-        .alias("to"),
+    return seeds.join(first, "content").filter(place != F.col("first")).select(
+        "id", "version", F.col("pos").alias("from"), "to"
     )
 
 

@@ -454,6 +454,52 @@ def test_line_dedup_odd(odd, empty):
     assert linededup.drop_repeated_lines(empty).count() == 0
 
 
+def every_earlier_lines(texts, least=50):
+    """As ``brute_lines``, but a run is held against every earlier position, not one."""
+    seen, out = set(), {}
+    for i in sorted(texts):
+        lines = texts[i].split("\n")
+        rows = [(p, x.strip(" \t\r\x0b\x0c"), len(re.findall(r"[^\x20\x09-\x0D]+", x))) for p, x in enumerate(lines)]
+        rows = [r for r in rows if r[2]]
+        gone = set()
+        for k in range(len(rows)):
+            n = 0
+            for e in range(k, len(rows)):
+                n += rows[e][2]
+                content = tuple(r[1] for r in rows[k : e + 1])
+                if n >= least and content in seen:
+                    gone |= set(range(rows[k][0], rows[e][0] + 1))
+                elif n >= least:
+                    seen.add(content)
+        out[i] = "\n".join(x for p, x in enumerate(lines) if p not in gone)
+    return out
+
+
+def test_line_dedup_follows_every_earlier_position(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("x", 60), ("y", 30), ("z", 30)))
+    three = {1: f"{x}\n{y}", 2: f"{x}\n{z}", 3: f"{x}\n{z}\nend"}
+    assert every_earlier_lines(three) == {1: f"{x}\n{y}", 2: z, 3: "end"}
+    rng = random.Random(7)
+    pool = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([1, 2, 8, 25, 49, 60, 90]))) for _ in range(30)]
+    many = {}
+    for i in range(300):
+        at = rng.randrange(20)
+        lines = pool[at : at + rng.randint(1, 6)] + rng.choices([*pool, "", " "], k=rng.randint(0, 6))
+        many[i] = "\n".join(lines + ["again and again"] * rng.choice([0, 0, 0, 30]))
+    for texts in (three, many):
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        rows = linededup.drop_repeated_lines(df).select("row.doc_id", "text").collect()
+        assert {r[0]: r[1] for r in rows} == every_earlier_lines(texts)
+
+
+def test_line_dedup_overlapping_windows_select_one_line(spark):
+    rows = [(1, "\n".join(f"{i} " + "word " * 9 for i in range(40)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = linededup.windows(linededup.line_rows(df), 50)
+    places = found.groupBy("fingerprint").agg(F.countDistinct("at").alias("n"))
+    assert found.count() == 36 and places.filter("n > 1").count() == 0
+
+
 # 8 mixing
 
 
