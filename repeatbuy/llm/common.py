@@ -62,15 +62,18 @@ def map_slices(
     return df.mapInArrow(run, fields)
 
 
+def drawn(by: str, most: int, size: int) -> Column:
+    """Whether a row is among about ``most`` of ``size``, by 62 bits of a hash of its id, so that a
+    sample keeps its size however many rows there are."""
+    bound = min(1 << 62, most * (1 << 62) // max(size, 1))
+    return F.pmod(F.xxhash64(F.col("doc_id"), F.lit(by)), F.lit(1 << 62)) < F.lit(bound)
+
+
 def bounded_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
     """About ``most`` rows of each value of ``by``, chosen by a hash of the id; all if there are
     fewer. ``by`` must have few values: one row for each comes to the driver."""
     sizes = {r[0]: r[1] for r in rows.groupBy(by).count().collect()}
     parts = F.lit(False)
     for value, size in sizes.items():
-        part = (F.col(by) == F.lit(value)) & (
-            F.pmod(F.xxhash64(F.col("doc_id"), F.lit(by)), F.lit(1_000_000))
-            < int(min(1.0, most / size) * 1_000_000)
-        )
-        parts = parts | part
+        parts = parts | ((F.col(by) == F.lit(value)) & drawn(by, most, size))
     return rows.filter(parts)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from repeatbuy.llm.common import by_value, fold, map_slices
+from repeatbuy.llm.common import by_value, drawn, fold, map_slices
 
 by_value(__name__)
 
@@ -50,13 +50,7 @@ def fit(
     )
     chosen = F.lit(False)
     for lang, size in sizes:
-        chosen = chosen | (
-            (F.col("lang") == lang)
-            & (
-                F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_000))
-                < int(min(1.0, sample_docs / size) * 1_000_000)
-            )
-        )
+        chosen = chosen | ((F.col("lang") == lang) & drawn("lang", sample_docs, size))
     counted = (
         rows.filter(chosen)
         .select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("gram"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from compare import connect, difference
 from repeatbuy.llm import (
+    common,
     langid,
     linededup,
     mixing,
@@ -152,6 +153,12 @@ def test_langid_odd(odd, empty):
     assert langid.identify(odd).count() == len(ODD) and langid.identify(empty).count() == 0
 
 
+@pytest.mark.parametrize("most,size,low,high", [(1000, 3 * 10**9, 1, 30), (3000, 10**10, 1, 30), (5, 3, 3 * 10**7, 3 * 10**7)])
+def test_samples_keep_their_size_on_any_input(spark, most, size, low, high):
+    rows = spark.range(3 * 10**7).withColumnRenamed("id", "doc_id")
+    assert low <= rows.filter(common.drawn("label", most, size)).count() <= high
+
+
 # 3 sharding
 
 
