@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repeatbuy.llm import (
+    codes,
+    hardneg,
     langid,
     linededup,
     mixing,
@@ -77,6 +79,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = codes.encode(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -90,6 +103,8 @@ QUERIES = {
         op8_mixing,
         op9_rules,
         op10_toxicity,
+        op11_hardneg,
+        op13_codes,
     )
 }
-SQL = {"op1_topk": topk.SQL, "op8_mixing": mixing.SQL, "op9_rules": rules.SQL}
+SQL = {"op1_topk": topk.SQL, "op8_mixing": mixing.SQL, "op9_rules": rules.SQL, "op11_hardneg": hardneg.SQL, "op13_codes": codes.SQL}
