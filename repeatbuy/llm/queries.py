@@ -16,6 +16,7 @@ from repeatbuy.llm import (
     quality,
     rules,
     sharding,
+    suffixdedup,
     topk,
     toxicity,
 )
@@ -85,6 +86,18 @@ def op11_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+def op12_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.drop_repeats(table(spark, sf_dir, "documents"))
+    length = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        length.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, books = codes.encode(table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
@@ -104,6 +117,7 @@ QUERIES = {
         op9_rules,
         op10_toxicity,
         op11_hardneg,
+        op12_suffixdedup,
         op13_codes,
     )
 }
