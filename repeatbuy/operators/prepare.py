@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repeatbuy.functions.fixed import LABEL
-from repeatbuy.functions.skew import numbered
+from repeatbuy.functions.skew import Sizes, attach, numbered
+from repeatbuy.operators.neighbours import distinct_points, nearest_points
+from repeatbuy.plans.staging import stage
 
 FEATURES = "features"
 
-# Task functions travel by value: executors need numpy and pandas, not this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 def select_features(rows: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Key columns, label and one feature vector."""
@@ -66,72 +61,22 @@ def max_scale(train: DataFrame, columns: Sequence[str]) -> Scale:
 
 # --- neighbours ----------------------------------------------------------------------------
 
-MAX_TRAIN = 65_536
-#: Rows asked about at once: their distances to MAX_TRAIN points take 32 MB.
-ASKED = 64
-
-
-def labelled_points(
-    rows: DataFrame, columns: Sequence[str], most: int, seed: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct points of ``rows`` in column order, the rows at each, and those of class 1.
-
-    All points if there are at most ``most``, else about that many by a seeded hash, so what is
-    collected is bounded. Rows with an unknown feature have no distance and are left out.
-    """
-    x = [F.col(c).cast("double").alias(c) for c in columns]
-    known = rows.select(*x, (F.col(LABEL) == 1).cast("long").alias("_one")).dropna()
-    points = known.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"), F.sum("_one").alias("_one"))
-    size = points.count()
-    if size > most:
-        draw = F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 32))
-        points = points.filter(draw < int(most / size * (1 << 32)))
-    found = points.toPandas().sort_values(list(columns), kind="stable")
-    return (
-        found[list(columns)].to_numpy(float),
-        found["_n"].to_numpy(np.int64),
-        found["_one"].to_numpy(np.int64),
-    )
-
 
-def _nearest(asked: np.ndarray, pool: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the k nearest pool points of every asked point, ties in the pool's order.
-
-    Products of matrices find candidates within a margin of rounding; plain distances order them.
-    """
-    k = min(k, len(pool))
-    norms, own = (pool**2).sum(1), (asked**2).sum(1)
-    gap = norms - 2 * asked @ pool.T
-    margin = 1e-12 * (norms.max() + own)
-    last = np.partition(gap, k - 1, axis=1)[:, k - 1] + margin
-    out = np.empty((len(asked), k), np.int64)
-    for i, row in enumerate(gap):
-        at = np.flatnonzero(row <= last[i])
-        exact = ((pool[at] - asked[i]) ** 2).sum(1)
-        out[i] = at[np.argsort(exact, kind="stable")[:k]]
-    return out
-
-
-def _uniform(seed: int, place: np.ndarray, copy: np.ndarray) -> np.ndarray:
-    """Numbers in [0, 1) that depend on a row's place and copy only, not on batches."""
-    x = place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + copy.astype(np.uint64)
-    x = (x + np.uint64(seed)) * np.uint64(0xBF58476D1CE4E5B9)
-    for factor in (0x94D049BB133111EB, 0xC2B2AE3D27D4EB4F):
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(factor)
-    return (x >> np.uint64(11)) / float(1 << 53)
+def _uniform(seed: int, *of: Column) -> Column:
+    """Numbers in [0, 1) that depend on the given values only."""
+    return F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
 def smote(
-    rows: DataFrame, columns: Sequence[str], key: str, k: int = 5, seed: int = 42,
-    max_train: int = MAX_TRAIN,
+    rows: DataFrame, columns: Sequence[str], key: str, k: int = 5, seed: int = 42
 ) -> DataFrame:
     """Balance the classes: add class-1 rows on the line between a class-1 row and one of its k
     nearest class-1 neighbours.
 
-    Every class-1 row is compared with all distinct class-1 points, or with about ``max_train`` of
-    them by a seeded hash where there are more. Copies of a row are its neighbours. Every class-1
+    All class-1 rows are each other's candidates, through an exact neighbour join of their distinct
+    points; ties come in the order of the columns. Copies of a row are its neighbours. Every class-1
     row yields the same number of new rows, and the remainder goes to rows in hash order. A row
-    with an unknown feature is repeated as it is. New rows carry NULL in ``key``.
+    without a place (an unknown feature) is repeated as it is. New rows carry NULL in ``key``.
     """
     counts = rows.agg(
         F.count_if(F.col(LABEL) == 1).alias("ones"), F.count_if(F.col(LABEL) == 0).alias("zeros")
@@ -141,106 +86,98 @@ def smote(
         return rows.select(key, *columns, LABEL)
     whole, rest = divmod(missing, ones)
     columns = list(columns)
+    typed = [F.col(c).cast("double").alias(c) for c in columns]
     positive = rows.filter(F.col(LABEL) == 1)
-    pool, weight, _ = labelled_points(positive, columns, max_train, seed)
-    shared = rows.sparkSession.sparkContext.broadcast((pool, weight))
-
-    def neighbours(x):
-        """A row of up to k pool indices for each point; -1 stands for the point itself."""
-        pool, weight = shared.value
-        out = [[-1]] * len(x)
-        known = np.flatnonzero(~np.isnan(x).any(axis=1))
-        if len(pool) and len(known):
-            for i, near in zip(known, _nearest(x[known], pool, k + 1), strict=True):
-                others = weight[near] - (pool[near] == x[i]).all(axis=1)
-                found = np.repeat(near, np.minimum(others, k))[:k]
-                out[i] = found if len(found) else [-1]
-        return out
-
-    def grow(batches):
-        pool, _ = shared.value
-        for pdf in batches:
-            pdf = pdf[pdf["_times"] > 0]
-            for start in range(0, len(pdf), ASKED):
-                part = pdf.iloc[start : start + ASKED]
-                x, times = part[columns].to_numpy(float), part["_times"].to_numpy(int)
-                near = neighbours(x)
-                base = np.repeat(np.arange(len(x)), times)
-                place = part["_place"].to_numpy(np.int64)[base]
-                copy = np.concatenate([np.arange(t) for t in times])
-                which = _uniform(seed, place, 2 * copy)
-                pick = np.array([near[b][int(u * len(near[b]))] for b, u in zip(base, which, strict=True)])
-                other = np.where((pick < 0)[:, None], x[base], pool[pick] if len(pool) else x[base])
-                step = _uniform(seed, place, 2 * copy + 1)[:, None]
-                yield pd.DataFrame(x[base] + step * (other - x[base]), columns=columns)
+    pool = distinct_points(positive, columns, "point")
 
-    typed = [F.col(c).cast("double").alias(c) for c in columns]
-    minority = numbered(positive.select(key, *typed), key, seed)
+    # The k nearest of each point, a copy in a place of its own; the point itself counts once less.
+    near = nearest_points(pool.withColumnRenamed("point", "ask"), pool, columns, k + 1, seed)
+    others = F.col("weight") - (F.col("ask") == F.col("point")).cast("int")
+    near = near.join(pool.select("point", "weight"), "point").withColumn("others", F.least(others, F.lit(k)))
+    listed = F.sort_array(F.collect_list(F.struct("rank", "point", "others")))
+    places = F.flatten(F.transform(listed, lambda x: F.array_repeat(x["point"], x["others"].cast("int"))))
+    near = near.groupBy("ask").agg(F.slice(places, 1, k).alias("others"))
+
+    minority = stage(numbered(positive.select(key, *typed), key, seed), "minority")
     extra = (F.col("_place") <= rest).cast("int")
-    minority = minority.withColumn("_times", F.lit(whole) + extra).drop(key)
-    schema = ", ".join(f"`{c}` double" for c in columns)
-    new = minority.mapInPandas(grow, schema)
+    minority = minority.withColumn("_times", F.lit(whole) + extra).filter("_times > 0").drop(key)
+    sizes = Sizes(minority, staged=True)
+    own = attach(minority, pool.select(*columns, F.col("point").alias("ask")), columns, "left", sizes)
+    own = stage(own, "minority-points")
+    sizes = Sizes(own, staged=True)
+    listed = attach(own.filter("ask is not null").select("ask", "_place", "_times"), near, ["ask"], "left", sizes)
+    copies = listed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    pick = (_uniform(seed, F.col("_place"), F.col("copy"), F.lit(0)) * F.size("others")).cast("int") + 1
+    picked = copies.select(
+        "ask",
+        F.when(F.size("others") > 0, F.element_at("others", pick)).otherwise(F.col("ask")).alias("point"),
+        _uniform(seed, F.col("_place"), F.col("copy"), F.lit(1)).alias("step"),
+    )
+    picked = stage(picked, "picked")
+    sizes = Sizes(picked, staged=True)
+    start = pool.select(F.col("point").alias("ask"), F.struct(*columns).alias("from"))
+    end = pool.select("point", F.struct(*columns).alias("to"))
+    moved = attach(attach(picked, start, ["ask"], sizes=sizes), end, ["point"], sizes=sizes)
+    new = moved.select(
+        *[(F.col(f"from.`{c}`") + F.col("step") * (F.col(f"to.`{c}`") - F.col(f"from.`{c}`"))).alias(c) for c in columns]
+    )
+    again = own.filter("ask is null").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     original = rows.select(key, *typed, LABEL)
     key_type = dict(original.dtypes)[key]
-    made = new.select(
+    made = new.unionByName(again.select(*columns)).select(
         F.lit(None).cast(key_type).alias(key), *columns, F.lit(1).cast(dict(rows.dtypes)[LABEL]).alias(LABEL)
     )
     return original.unionByName(made)
 
 
+def _share(near: Column, n: Column) -> Column:
+    """Share of class 1 among the ``n`` nearest rows; ``near`` lists rank, weight and ones by point.
+    A point's rows vote with their mean where not all of them are among the ``n``."""
+    zero = F.struct(F.lit(0.0).alias("left"), F.lit(0.0).alias("taken"), F.lit(0.0).alias("ones"))
+
+    def step(state, point):
+        take = F.least(point["weight"].cast("double"), state["left"])
+        return F.struct(
+            (state["left"] - take).alias("left"),
+            (state["taken"] + take).alias("taken"),
+            (state["ones"] + take * point["ones"] / point["weight"]).alias("ones"),
+        )
+
+    start = zero.withField("left", n.cast("double"))
+    return F.aggregate(near, start, step, lambda s: F.when(s["taken"] > 0, s["ones"] / s["taken"]))
+
+
 def knn_votes(
     train: DataFrame, test: DataFrame, columns: Sequence[str], key: str, k: int = 10,
-    seed: int = 42, up_to: int | None = None, max_train: int = MAX_TRAIN,
+    seed: int = 42, up_to: int | None = None,
 ) -> DataFrame:
     """Class-1 votes among the k nearest train rows of every test row.
 
-    Every test row is compared with all distinct points of ``train``, or with about ``max_train``
-    of them by a seeded hash where there are more. Train rows at one point vote with their mean;
-    points at the same distance come in the order of their columns. Without train rows, or with an
-    unknown feature, a test row's probability and class are NULL. With ``up_to`` the result has a
-    row per number of neighbours 1 … up_to.
+    All distinct points of ``train`` are candidates, through an exact neighbour join. Train rows at
+    one point vote with their mean; points at the same distance come in the order of their columns.
+    Without train rows, or without a place (an unknown feature), a test row's probability and class
+    are NULL. With ``up_to`` the result has a row per number of neighbours 1 … up_to.
     """
     columns = list(columns)
-    sizes = np.array([k] if up_to is None else range(1, up_to + 1))
-    shared = train.sparkSession.sparkContext.broadcast(labelled_points(train, columns, max_train, seed))
-
-    def shares(x):
-        """Class-1 share among the nearest rows, for every point and number of neighbours."""
-        pool, weight, ones = shared.value
-        out = np.full((len(x), len(sizes)), np.nan)
-        known = np.flatnonzero(~np.isnan(x).any(axis=1))
-        if len(pool) and len(known):
-            near = _nearest(x[known], pool, sizes[-1])
-            upto = np.cumsum(weight[near], axis=1)
-            for j, n in enumerate(sizes):
-                taken = np.clip(n - (upto - weight[near]), 0, weight[near])
-                out[known, j] = (taken * ones[near] / weight[near]).sum(1) / taken.sum(1)
-        return out
-
-    def vote(batches):
-        for pdf in batches:
-            for start in range(0, len(pdf), ASKED):
-                part = pdf.iloc[start : start + ASKED]
-                found = shares(part[columns].to_numpy(float))
-                for j, n in enumerate(sizes):
-                    yield pd.DataFrame(
-                        {
-                            key: part[key].to_numpy(),
-                            "neighbours": n,
-                            "y_test": part["_y"].to_numpy(),
-                            "y_test_prob": found[:, j],
-                        }
-                    )
-
-    asked = test.select(
-        F.col(key).cast("string").alias(key), *[F.col(c).cast("double").alias(c) for c in columns],
-        F.col(LABEL).cast("int").alias("_y"),
+    pool = distinct_points(train, columns, "point", ones=(F.col(LABEL) == 1).cast("long"))
+    asked = distinct_points(test, columns, "ask")
+    near = nearest_points(asked, pool, columns, k if up_to is None else up_to, seed)
+    near = near.join(pool.select("point", "weight", "ones"), "point")
+    near = near.groupBy("ask").agg(F.sort_array(F.collect_list(F.struct("rank", "weight", "ones"))).alias("_near"))
+    near = asked.select("ask", *columns).join(near, "ask", "left").drop("ask")
+    rows = stage(
+        test.select(
+            F.col(key).cast("string").alias(key), *[F.col(c).cast("double").alias(c) for c in columns],
+            F.col(LABEL).cast("int").alias("y_test"),
+        ),
+        "asked-rows",
     )
-    schema = f"`{key}` string, neighbours int, y_test int, y_test_prob double"
-    votes = asked.mapInPandas(vote, schema)
-    prob = F.when(~F.isnan("y_test_prob"), F.col("y_test_prob"))
-    return votes.withColumn("y_test_prob", prob).withColumn(
-        "y_test_prediction", (F.col("y_test_prob") > 0.5).cast("int")
+    voted = attach(rows, near, columns, "left", Sizes(rows, staged=True))
+    sizes = [k] if up_to is None else list(range(1, up_to + 1))
+    voted = voted.withColumn("neighbours", F.explode(F.array(*map(F.lit, sizes))))
+    voted = voted.withColumn("y_test_prob", _share(F.col("_near"), F.col("neighbours")))
+    return voted.select(
+        key, "neighbours", "y_test", "y_test_prob", (F.col("y_test_prob") > 0.5).cast("int").alias("y_test_prediction")
     )
 
 

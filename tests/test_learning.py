@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repeatbuy.functions.fixed import LABEL
-from repeatbuy.operators import evaluate, features, models, prepare
+from repeatbuy.operators import evaluate, features, models, neighbours, prepare
 
 COLUMNS = ["a", "b", "noise"]
 
@@ -124,10 +124,51 @@ def test_new_rows_lie_between_nearest_neighbours(spark, dealt):
         assert off.min() < 1e-18
 
 
-def test_bound_on_labelled_rows(spark, rows):
-    points, weight, ones = prepare.labelled_points(rows, COLUMNS, 300, 1)
-    assert 240 < len(points) < 360 and weight.sum() == len(points) and 0 < ones.sum() < len(points)
-    assert len(prepare.labelled_points(rows, COLUMNS, 1200, 1)[0]) == 1200
+def test_neighbour_join_equals_brute_force(spark, dealt, monkeypatch):
+    """Many cells and parts on both sides, ties, points far out, and a dense spot."""
+    monkeypatch.setattr(neighbours, "PART", 128)
+    monkeypatch.setattr(neighbours, "ASKED", 64)
+    rng = np.random.default_rng(7)
+    columns = [f"c{i}" for i in range(5)]
+    x = np.round(rng.normal(size=(4000, 5)) * [1, 1, 1, 5, 1000] + rng.integers(0, 4, size=(4000, 1)) * 40, 1)
+    x[:700] = np.round(rng.normal(size=(700, 5)) * 0.3, 1)
+    x[700] = 1e12
+    rows = spark.createDataFrame([tuple(map(float, p)) for p in x], ", ".join(f"{c} double" for c in columns))
+    want = None
+    for partitions, batch in dealt:
+        settings(spark, partitions, batch)
+        points = neighbours.distinct_points(rows.repartition(5), columns, "point")
+        if want is None:
+            held = points.orderBy("point").toPandas()
+            p = held[columns].to_numpy()
+            assert len(p) < 4000 and (p == np.array(sorted(map(tuple, p)))).all()
+            want = set()
+            for i, own in enumerate(p):
+                gap = ((p - own) ** 2).sum(1)
+                for j in np.argsort(gap, kind="stable")[:4]:
+                    want.add((tuple(own), tuple(p[j]), gap[j]))
+        at = {r["point"]: tuple(r[c] for c in columns) for r in points.collect()}
+        found = neighbours.nearest_points(points.withColumnRenamed("point", "ask"), points, columns, 4).collect()
+        assert {(at[r["ask"]], at[r["point"]], r["gap"]) for r in found} == want and len(found) == len(want)
+
+
+def test_neighbours_of_another_frame_and_of_few(spark):
+    columns = ["a", "b"]
+    points = neighbours.distinct_points(spark.createDataFrame([(0.0, 0.0), (3.0, 4.0), (0.0, 0.0)], "a double, b double"), columns, "point")
+    asked = neighbours.distinct_points(
+        spark.createDataFrame([(0.0, 1.0), (None, 1.0), (float("inf"), 0.0), (float("nan"), 2.0)], "a double, b double"), columns, "ask"
+    )
+    assert sorted(r["weight"] for r in points.collect()) == [1, 2] and asked.count() == 1
+    found = neighbours.nearest_points(asked, points, columns, 5).orderBy("rank").collect()
+    assert [(r["gap"], r["rank"]) for r in found] == [(1.0, 1), (18.0, 2)]
+    assert neighbours.nearest_points(asked, points.limit(0), columns, 5).collect() == []
+
+
+def test_smote_repeats_rows_without_a_place(spark):
+    data = [("1", 1.0, 1), ("2", None, 1), *[(str(i), 2.0, 0) for i in range(3, 11)]]
+    out = prepare.smote(spark.createDataFrame(data, f"row_id string, a double, {LABEL} int"), ["a"], "row_id")
+    new = [r["a"] for r in out.filter("row_id is null").collect()]
+    assert sorted(new, key=str) == [1.0, 1.0, 1.0, None, None, None]
 
 
 @pytest.mark.parametrize("fit", [
