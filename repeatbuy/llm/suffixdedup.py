@@ -10,8 +10,9 @@ form a run, and the text under a run is an entry of the dictionary. The parse is
 2. The text of these dictionary entries is fetched, and a suffix array over the entries of a stretch
    of phrases orders all strings that start in them. Equal strings come in the order of the parse, so
    all but the first one are repeats.
-3. Phrases that span partitions or stretches, frequent ones, hand on their first strings, which meet
-   by two hashes of 64 bits.
+3. Phrases that span partitions or stretches, frequent ones, hand on their entries. These are sorted
+   by what follows and by what comes before the phrase; strings that reach no further than an entry
+   has in common with its neighbours meet by two hashes of 64 bits.
 
 Highly repetitive text shrinks to its dictionary in the first step: no string of a copy is looked at
 again. The whole corpus order is never written out; only phrases with several entries need it.
@@ -39,6 +40,7 @@ EVERY = 12  # a string is a trigger once in so many, by its hash
 SLICE = 1 << 18  # bytes of text parsed at once
 STRETCH = 1 << 20  # bytes of dictionary sorted at once
 LAST = (1 << 63) - 1
+COUNT = 1 << 7  # of a run: its strings, fewer than LENGTH, and COUNT times the phrase's place in it
 RUNS = "phrase long, entry long, doc long, row long, at int, n int"
 #: Odd multipliers of the two rolling hashes.
 FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -77,8 +79,9 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def keys(text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of the pieces ``start`` to ``stop`` of a text: piece, first place, number of strings, hash
-    of the phrase and of the entry. A string without a whole phrase inside is a run of its own."""
+    """Runs of the pieces ``start`` to ``stop`` of a text: piece, first place, number of strings, place
+    of the phrase after the first, hash of the phrase and of the entry. A string without a whole phrase
+    inside is a run of its own, and its own phrase."""
     one, two = Rolling(text, 0), Rolling(text, 1)
     n = len(text)
     at = np.arange(max(0, n - WORD + 1))
@@ -122,7 +125,8 @@ def keys(text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndar
     count = np.r_[n_at[~bare], np.ones(len(alone), np.int64)]
     piece = np.r_[piece[~bare], np.repeat(piece[bare], n_at[bare])]
     phrase = np.r_[one.of(first[best[~bare]], last[best[~bare]]), one.of(alone, alone + LENGTH)]
-    return piece, begin, count, phrase.view(np.int64), two.of(begin, begin + count + LENGTH - 1).view(np.int64)
+    lead = np.r_[first[best[~bare]] - at[~bare], np.zeros(len(alone), np.int64)]
+    return piece, begin, count, lead, phrase.view(np.int64), two.of(begin, begin + count + LENGTH - 1).view(np.int64)
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -168,16 +172,16 @@ def parse(docs: DataFrame) -> DataFrame:
         for batch in batches:
             doc, row = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "row"))
             for text, rows, start, stop, moved in slices(batch.column("text")):
-                piece, at, n, phrase, entry = keys(text, start, stop)
+                piece, at, n, lead, phrase, entry = keys(text, start, stop)
                 order = np.lexsort((at, entry, phrase, piece))
-                piece, at, n, phrase, entry = (x[order] for x in (piece, at, n, phrase, entry))
+                piece, at, n, lead, phrase, entry = (x[order] for x in (piece, at, n, lead, phrase, entry))
                 again = np.zeros(len(at), bool)
                 again[1:] = (piece[1:] == piece[:-1]) & (phrase[1:] == phrase[:-1]) & (entry[1:] == entry[:-1])
                 by = np.lexsort((at[again], piece[again]))
                 owner, low, high = merged(piece[again][by], at[again][by], (at + n + LENGTH - 1)[again][by])
                 piece = np.r_[piece[~again], owner]
                 at = np.r_[at[~again], low]
-                n = np.r_[n[~again], low - high]
+                n = np.r_[(n + COUNT * lead)[~again], low - high]
                 # Intervals have no phrase; a hash of their place deals them out evenly.
                 spread = (row[rows[owner]] + low).astype(np.uint64) * np.uint64(FACTORS[0])
                 phrase, entry = np.r_[phrase[~again], spread.view(np.int64)], np.r_[entry[~again], np.zeros(len(owner), np.int64)]
@@ -245,7 +249,7 @@ def repeated_runs(runs: DataFrame) -> DataFrame:
 
 
 def fetched(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """phrase, doc, row, at and bytes of the runs asked for, from their documents."""
+    """phrase, doc, row, at, bytes and place of the phrase of the runs asked for, from their documents."""
     wanted = asked.groupBy("row").agg(F.collect_list(F.struct("phrase", "at", "n")).alias("runs"))
 
     def run(batches):
@@ -254,12 +258,16 @@ def fetched(docs: DataFrame, asked: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 text, runs = texts[i].as_buffer(), batch.column("runs")[i].values
                 phrase, at, n = (runs.field(c) for c in ("phrase", "at", "n"))
-                cuts = [text.slice(a, m + LENGTH - 1).to_pybytes() for a, m in zip(at.to_pylist(), n.to_pylist(), strict=True)]
+                n = n.to_numpy()
+                cuts = [text.slice(a, m).to_pybytes() for a, m in zip(at.to_pylist(), (n % COUNT + LENGTH - 1).tolist(), strict=True)]
+                lead = pa.array(n // COUNT)
                 doc, row = (pa.array(np.full(len(runs), batch.column(c)[i].as_py())) for c in ("doc", "row"))
-                yield pa.RecordBatch.from_arrays([phrase, doc, row, at, pa.array(cuts, pa.binary())], names=["phrase", "doc", "row", "at", "text"])
+                yield pa.RecordBatch.from_arrays(
+                    [phrase, doc, row, at, lead, pa.array(cuts, pa.binary())], names=["phrase", "doc", "row", "at", "lead", "text"]
+                )
 
     joined = docs.join(wanted, "row").select("doc", "row", "text", "runs")
-    return joined.mapInArrow(run, "phrase long, doc long, row long, at int, text binary")
+    return joined.mapInArrow(run, "phrase long, doc long, row long, at int, lead int, text binary")
 
 
 def suffix_ranks(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -278,9 +286,9 @@ def suffix_ranks(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     return rank
 
 
-def later_strings(cuts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def later_strings(cuts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all strings that start in these entries, given in the order of the parse: their entry, their
-    place in it, whether an equal one comes before, and their place in the bytes of all."""
+    place in it, and whether an equal one comes before."""
     sizes = np.array([len(x) for x in cuts.to_pylist()], np.int64)
     text = np.frombuffer(b"".join(cuts.to_pylist()), np.uint8)
     start = np.r_[0, np.cumsum(sizes)[:-1]]
@@ -288,31 +296,43 @@ def later_strings(cuts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     place = ranges(start, count)
     owner = np.repeat(np.arange(len(sizes)), count)
     _, first, of = np.unique(suffix_ranks(text)[place], return_index=True, return_inverse=True)
-    return owner, place - start[owner], first[of] != np.arange(len(place)), text
+    return owner, place - start[owner], first[of] != np.arange(len(place))
+
+
+OPEN = "phrase long, doc long, row long, at int, ahead binary, behind binary, open binary"
 
 
 def resolved(entries: DataFrame) -> DataFrame:
-    """Repeated intervals (row, start, stop); and strings of phrases that go on in another stretch or
-    partition, with two hashes, doc, row and place."""
-    schema = "row long, start int, stop int, one long, two long, doc long"
-    names = ["row", "start", "stop", "one", "two", "doc"]
+    """Repeated intervals (row, start, stop); and entries of phrases that go on in another stretch or
+    partition: their text from the phrase on, the text before it backwards, and a byte for each of
+    their strings, 1 where no equal one came before."""
+    schema = OPEN + ", start int, stop int"
+    names = ["phrase", "doc", "row", "at", "ahead", "behind", "open", "start", "stop"]
+    kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.binary()] * 3 + [pa.int32()] * 2
 
     def out(table: pa.Table, shared: np.ndarray):
-        owner, inside, later, text = later_strings(table.column("text").combine_chunks())
-        row, at, doc = (table.column(c).to_numpy() for c in ("row", "at", "doc"))
+        owner, inside, later = later_strings(table.column("text").combine_chunks())
+        row, at = (table.column(c).to_numpy() for c in ("row", "at"))
         begin = at[owner].astype(np.int64) + inside
         of, low, high = merged(owner[later], begin[later], begin[later] + LENGTH)
-        none = pa.nulls(len(of), pa.int64())
+        spans = {"row": row[of], "start": low, "stop": high}
         yield pa.RecordBatch.from_arrays(
-            [pa.array(row[of]), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), none, none, none], names=names
+            [pa.array(spans[c], k) if c in spans else pa.nulls(len(of), k) for c, k in zip(names, kinds, strict=True)], names=names
         )
-        ask = np.flatnonzero(~later & shared[owner])
-        sizes = np.array([len(x) for x in table.column("text").to_pylist()], np.int64)
-        place = np.r_[0, np.cumsum(sizes)[:-1]][owner[ask]] + inside[ask]
-        hashes = [pa.array(Rolling(text, k).of(place, place + LENGTH).view(np.int64)) for k in (0, 1)]
-        first = pa.array(begin[ask].astype(np.int32))
+        ask = np.unique(owner[~later & shared[owner]])
+        if not len(ask):
+            return
+        bounds = np.searchsorted(owner, np.r_[ask, ask + 1]).reshape(2, -1).T
+        flags = (~later).astype(np.uint8)
+        part = table.take(pa.array(ask)).to_pydict()
+        cuts = list(zip(part["text"], part["lead"], strict=True))
+        made = {c: part[c] for c in ("phrase", "doc", "row", "at")} | {
+            "ahead": [text[lead:] for text, lead in cuts],
+            "behind": [text[:lead][::-1] for text, lead in cuts],
+            "open": [flags[a:b].tobytes() for a, b in bounds.tolist()],
+        }
         yield pa.RecordBatch.from_arrays(
-            [pa.array(row[owner[ask]]), first, pa.array((begin[ask] + LENGTH).astype(np.int32)), *hashes, pa.array(doc[owner[ask]])], names=names
+            [pa.array(made[c], k) if c in made else pa.nulls(len(ask), k) for c, k in zip(names, kinds, strict=True)], names=names
         )
 
     def run(batches):
@@ -344,6 +364,58 @@ def resolved(entries: DataFrame) -> DataFrame:
     return sorted_by(entries, "phrase", "doc", "row", "at").mapInArrow(run, schema)
 
 
+def common(phrase: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """For each of these texts, in order, the bytes at its start that a neighbour of its phrase shares;
+    all of them for the first and last one, whose neighbours may lie elsewhere."""
+    size = np.array([len(x) for x in texts], np.int64)
+    wide = int(size.max(initial=1)) or 1
+    grid = np.frombuffer(b"".join(x.ljust(wide, b"\0") for x in texts), np.uint8).reshape(-1, wide)
+    differ = np.c_[grid[1:] != grid[:-1], np.ones((len(texts) - 1, 1), bool)].argmax(1)
+    shared = np.where(phrase[1:] == phrase[:-1], np.minimum(differ, np.minimum(size[1:], size[:-1])), 0)
+    reach = np.maximum(np.r_[size[0], shared], np.r_[shared, size[-1]])
+    return np.minimum(reach, size)
+
+
+def shared_strings(entries: DataFrame) -> DataFrame:
+    """Two hashes, doc, row and start of the open strings that another entry of the phrase may hold.
+
+    In the order of the text from the phrase on, the neighbours of an entry share most with it, and so
+    they do in the order of the text before the phrase. A string that reaches further than either
+    occurs nowhere else. Both orders are kept over all partitions.
+    """
+
+    def ahead(batches):
+        for batch in batches:
+            if batch.num_rows:
+                reach = common(batch.column("phrase").to_numpy(), batch.column("ahead").to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(reach, pa.int32())], names=[*batch.schema.names, "reach"])
+
+    def strings(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            behind, front = batch.column("behind").to_pylist(), batch.column("ahead").to_pylist()
+            back = common(batch.column("phrase").to_numpy(), behind)
+            lead = np.array([len(x) for x in behind], np.int64)
+            size = lead + np.array([len(x) for x in front], np.int64)
+            text = np.frombuffer(b"".join(b[::-1] + a for b, a in zip(behind, front, strict=True)), np.uint8)
+            flags = np.frombuffer(b"".join(batch.column("open").to_pylist()), np.uint8) == 1
+            owner = np.repeat(np.arange(len(size)), size - LENGTH + 1)
+            inside = ranges(np.zeros(len(size), np.int64), size - LENGTH + 1)
+            before = lead[owner] - inside
+            fine = flags & (before <= back[owner]) & (LENGTH - before <= batch.column("reach").to_numpy()[owner])
+            owner, inside = owner[fine], inside[fine]
+            place = (np.cumsum(size) - size)[owner] + inside
+            hashes = [Rolling(text, k).of(place, place + LENGTH).view(np.int64) for k in (0, 1)]
+            doc, row, at = (batch.column(c).to_numpy()[owner] for c in ("doc", "row", "at"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (*hashes, doc, row, (at + inside).astype(np.int32))], names=["one", "two", "doc", "row", "start"]
+            )
+
+    front = sorted_by(entries, "phrase", "ahead", "row", "at").mapInArrow(ahead, OPEN + ", reach int")
+    return sorted_by(front, "phrase", "behind", "row", "at").mapInArrow(strings, "one long, two long, doc long, row long, start int")
+
+
 # --- documents -------------------------------------------------------------------------------
 
 
@@ -366,16 +438,17 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     rows = stage_bucketed(rows, "texts", ["row"], shuffle_width(spark))
     runs = stage(repeated_runs(parse(rows)), "runs")
     entries = stage(fetched(rows, runs.filter("not again")), "entries")
-    found = stage(resolved(entries), "strings")
-
-    strings = found.filter("one is not null")
+    found = stage(resolved(entries), "resolved")
+    open_entries = found.filter("open is not null").drop("start", "stop")
+    strings = stage(shared_strings(open_entries), "strings")
     place = F.struct("doc", "row", "start")
     firsts = strings.groupBy("one", "two").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     firsts = firsts.filter("n > 1").select("one", "two", "first")
-    later = strings.join(firsts, ["one", "two"]).filter(place > F.col("first")).select("row", "start", "stop")
-    stop = F.when(F.col("n") < 0, F.col("at") - F.col("n")).otherwise(F.col("at") + F.col("n") + LENGTH - 1)
+    later = strings.join(firsts, ["one", "two"]).filter(place > F.col("first"))
+    later = later.select("row", "start", (F.col("start") + LENGTH).alias("stop"))
+    stop = F.when(F.col("n") < 0, F.col("at") - F.col("n")).otherwise(F.col("at") + F.col("n") % COUNT + LENGTH - 1)
     whole = runs.filter("again").select("row", F.col("at").alias("start"), stop.cast("int").alias("stop"))
-    marks = whole.union(found.filter("one is null").select("row", "start", "stop")).union(later)
+    marks = whole.union(found.filter("open is null").select("row", "start", "stop")).union(later)
     marks = marks.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("marks"))
 
     def run(batches):

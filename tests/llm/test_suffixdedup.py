@@ -104,8 +104,9 @@ def test_keys_depend_on_the_string_alone():
     twice = np.r_[rng.integers(97, 105, 333).astype(np.uint8), text, text[:50]]
 
     def per_place(body):
-        _, at, n, phrase, _ = suffixdedup.keys(body, np.array([0]), np.array([len(body)]))
+        _, at, n, lead, phrase, _ = suffixdedup.keys(body, np.array([0]), np.array([len(body)]))
         out = np.zeros(len(body), np.int64)
+        assert ((lead >= 0) & (lead < 100) & (n < suffixdedup.COUNT)).all()
         for a, m, p in zip(at, n, phrase, strict=True):
             out[a : a + m] = p
         assert sorted(np.concatenate([np.arange(a, a + m) for a, m in zip(at, n, strict=True)])) == list(range(len(body) - 99))
@@ -114,6 +115,11 @@ def test_keys_depend_on_the_string_alone():
     assert (per_place(text)[:2901] == per_place(twice)[333 : 333 + 2901]).all()
 
 
+def test_common_starts():
+    got = suffixdedup.common(np.array([1, 1, 1, 2, 2, 3]), [b"ab", b"abc", b"abd", b"abd", b"b", b""])
+    assert got.tolist() == [2, 2, 2, 0, 0, 0]
+
+
 def test_ranks_follow_the_order_of_strings():
     rng = np.random.default_rng(2)
     text = np.r_[rng.integers(97, 99, 400), rng.integers(97, 99, 200), [97] * 300].astype(np.uint8)
