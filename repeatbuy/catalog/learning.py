@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repeatbuy.catalog.registry import query
@@ -15,7 +18,7 @@ from repeatbuy.functions.fixed import (
     REDUCED_FEATURES,
     STACKED_FEATURES,
 )
-from repeatbuy.functions.skew import attach
+from repeatbuy.functions.skew import Sizes, attach
 from repeatbuy.operators import evaluate, features, holdout, models, prepare
 from repeatbuy.plans import inputs
 from repeatbuy.plans.staging import fresh_path, stage
@@ -135,7 +138,7 @@ def fitted(ws, name):
             "forest": lambda: models.random_forest(
                 numTrees=100, maxDepth=8, minInstancesPerNode=10
             ).fit(train),
-            "extra": lambda: models.fit_extra_trees(train, n, trees=5),
+            "extra": lambda: models.fit_extra_trees(train, n),
             "ada": lambda: models.fit_ada_boost(train, rounds=10),
             "boosted": lambda: models.gradient_boosting(maxIter=10, maxDepth=4).fit(train),
             "svc": lambda: models.linear_svc(maxIter=20).fit(train),
@@ -168,6 +171,21 @@ for _q, _name in (
         return predictions(ws, fitted(ws, name))
 
 
+def bayes_rows(ws):
+    """The small exact table with its label, as vectors."""
+    labels = holdout.label_set(ws.category.lines, CATEGORY, 2, context=True)
+    pairs = features.pair_summary(ws.category.lines, "catid", "cat_reordered", 2)
+    rows = attach(labels, pairs, ["cid", "catid"], sizes=Sizes(ws.category.lines, staged=True))
+    return stage(prepare.select_features(rows, SCALE_COLUMNS, ["cid", "catid"]), "bayes")
+
+
+@query("m02_gaussian_nb_smoothed")
+def _(ws):
+    """Probabilities with a hundredth of the greatest variance added, on columns SQL can follow."""
+    rows = bayes_rows(ws)
+    return models.score(models.gaussian_nb(1e-2).fit(rows), rows, ["cid", "catid"])
+
+
 @query("m09_knn")
 def _(ws):
     frames = ws.frames
@@ -239,6 +257,22 @@ def _(ws):
     return models.model_importance(LogisticRegressionModel.load(path), ws.frames.columns)
 
 
+@query("m16_save_ensembles")
+def _(ws):
+    """Each ensemble written, read back, and its mean score before and after."""
+    rows, out = ws.frames.vectors("test"), []
+    voters = models.soft_voting([fitted(ws, "logistic"), fitted(ws, "extra")])
+    for name, model in (("ada", fitted(ws, "ada")), ("extra", fitted(ws, "extra")), ("voting", voters)):
+        path = fresh_path(ws.spark, "model")
+        models.save_model(model, path)
+        again = type(model).load(path)
+        kept, found = (models.score(m, rows, [ROW]).select(ROW, F.col("y_test_prob").alias(c))
+                       for m, c in ((model, "kept"), (again, "found")))
+        out.append(kept.join(found, ROW).select(
+            F.lit(name).alias("model"), ROW, "kept", "found", (F.col("kept") == F.col("found")).alias("equal")))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("v01_score")
 def _(ws):
     return predictions(ws, fitted(ws, "forest"))

@@ -12,25 +12,26 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
-    NaiveBayes,
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repeatbuy.functions.fixed import LABEL
+from repeatbuy.operators.extra_trees import fit_extra_trees  # noqa: F401
+from repeatbuy.operators.naive_bayes import GaussianBayes
 from repeatbuy.operators.prepare import FEATURES
+from repeatbuy.operators.saving import SavedModel
 from repeatbuy.plans.staging import stage
 
 COLUMNS = {"featuresCol": FEATURES, "labelCol": LABEL}
@@ -41,8 +42,8 @@ def logistic_regression(**params) -> LogisticRegression:
     return LogisticRegression(**COLUMNS, **params)
 
 
-def gaussian_nb(**params) -> NaiveBayes:
-    return NaiveBayes(modelType="gaussian", **COLUMNS, **params)
+def gaussian_nb(smoothing: float = 1e-9) -> GaussianBayes:
+    return GaussianBayes(smoothing)
 
 
 def decision_tree(**params) -> DecisionTreeClassifier:
@@ -97,16 +98,24 @@ def score(model, rows: DataFrame, keys: Sequence[str] = ("cid",)) -> DataFrame:
     )
 
 
-class Averaged:
+class Averaged(SavedModel):
     """Mean class-1 probability of several models, row by row in one pass."""
 
     _made = itertools.count()
 
     def __init__(self, models: Sequence):
+        super().__init__()
         self.models = list(models)
         self.name = f"_mean{next(self._made)}"  # averages may be nested
 
-    def transform(self, rows: DataFrame) -> DataFrame:
+    def parts(self) -> Sequence:
+        return self.models
+
+    @classmethod
+    def rebuilt(cls, facts, parts, spark, table):
+        return cls(parts)
+
+    def _transform(self, rows: DataFrame) -> DataFrame:
         names = [f"{self.name}_{i}" for i in range(len(self.models))]
         out = rows
         for name, model in zip(names, self.models):
@@ -127,69 +136,27 @@ def soft_voting(models: Sequence) -> Averaged:
     return Averaged(models)
 
 
-# --- extremely random trees ----------------------------------------------------------------
-
-
-def fit_extra_trees(
-    train: DataFrame, n_features: int, trees: int = 10, cuts: int = 8, depth: int = 8,
-    seed: int = SEED,
-) -> Averaged:
-    """Trees on columns cut at random points, no bootstrap, probabilities averaged.
-
-    The cut points are drawn once per tree, not per node: an approximation of extra trees.
-    """
-    x = vector_to_array(FEATURES)
-    ends = train.agg(
-        F.array(*[F.min(x[i]) for i in range(n_features)]).alias("lo"),
-        F.array(*[F.max(x[i]) for i in range(n_features)]).alias("hi"),
-    ).first()
-    rng = np.random.default_rng(seed)
-    raw = [f"_x{i}" for i in range(n_features)]
-    cut = [f"_c{i}" for i in range(n_features)]
-    models = []
-    for t in range(trees):
-        splits = []
-        for lo, hi in zip(ends["lo"], ends["hi"]):
-            inner = sorted(set(rng.uniform(lo, hi, cuts).tolist())) if hi > lo else [lo]
-            splits.append([-math.inf, *inner, math.inf])
-        stages = [
-            Bucketizer(inputCols=raw, outputCols=cut, splitsArray=splits),
-            VectorAssembler(inputCols=cut, outputCol="_cuts"),
-            DecisionTreeClassifier(
-                featuresCol="_cuts", labelCol=LABEL, maxDepth=depth, seed=seed + t
-            ),
-        ]
-        models.append(_Unpacked(Pipeline(stages=stages).fit(_unpack(train, n_features)), n_features))
-    return Averaged(models)
-
-
-def _unpack(rows: DataFrame, n: int) -> DataFrame:
-    x = vector_to_array(FEATURES)
-    return rows.withColumns({f"_x{i}": x[i] for i in range(n)})
-
-
-class _Unpacked:
-    """A model on single columns, applied to rows with a feature vector."""
-
-    def __init__(self, model, n_features: int):
-        self.model, self.n = model, n_features
-
-    def transform(self, rows: DataFrame) -> DataFrame:
-        scored = self.model.transform(_unpack(rows, self.n))
-        made = [f"_x{i}" for i in range(self.n)] + [f"_c{i}" for i in range(self.n)]
-        return scored.drop(*made, "_cuts")
-
-
 # --- boosting by re-weighting --------------------------------------------------------------
 
 
-class Boosted:
+class Boosted(SavedModel):
     """Weighted vote of stumps."""
 
     def __init__(self, stumps: Sequence[tuple[float, object]]):
+        super().__init__()
         self.stumps = list(stumps)
 
-    def transform(self, rows: DataFrame) -> DataFrame:
+    def parts(self) -> Sequence:
+        return [stump for _, stump in self.stumps]
+
+    def facts(self) -> dict:
+        return {"weights": [weight for weight, _ in self.stumps]}
+
+    @classmethod
+    def rebuilt(cls, facts, parts, spark, table):
+        return cls(list(zip(facts["weights"], parts, strict=True)))
+
+    def _transform(self, rows: DataFrame) -> DataFrame:
         out = rows
         for i, (_, stump) in enumerate(self.stumps):
             scored = stump.transform(out)
@@ -246,13 +213,21 @@ def fit_ada_boost(
 # --- stacking ------------------------------------------------------------------------------
 
 
-class Stacked:
+class Stacked(SavedModel):
     """Base models' probabilities fed to a final model."""
 
     def __init__(self, bases: Sequence, final):
+        super().__init__()
         self.bases, self.final = list(bases), final
 
-    def transform(self, rows: DataFrame) -> DataFrame:
+    def parts(self) -> Sequence:
+        return [*self.bases, self.final]
+
+    @classmethod
+    def rebuilt(cls, facts, parts, spark, table):
+        return cls(parts[:-1], parts[-1])
+
+    def _transform(self, rows: DataFrame) -> DataFrame:
         return self.final.transform(_base_scores(self.bases, rows)).drop("_bases")
 
 
@@ -397,4 +372,5 @@ def train_runs(
 
 
 def save_model(model, path: str) -> None:
+    """Any model here, ensembles with their parts; its class's ``load`` reads it back."""
     model.write().overwrite().save(path)

@@ -13,9 +13,9 @@ from repeatbuy.functions.expr import ratio
 from repeatbuy.operators.outliers import ksigma_filter
 
 
-def price_day_ratio(zero_days: str = "null") -> Column:
+def price_day_ratio(zero_days: str = "null", days: Column | None = None) -> Column:
     """Price per day until the next purchase; 0 days count as unknown ("null") or as 1 ("one")."""
-    days = F.col("days_to_next_purchase")
+    days = F.col("days_to_next_purchase") if days is None else days
     if zero_days == "one":
         days = F.when(days == 0, 1).otherwise(days)
     return ratio(F.col("price"), days)

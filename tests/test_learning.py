@@ -193,6 +193,99 @@ def test_models_learn(vectors, fit):
     assert f1(predictions) > 0.55
 
 
+def brute_extra_trees(x, y, trees, depth, rng):
+    """Extra trees node by node, the usual way."""
+
+    def grow(at, level):
+        ones = y[at].mean()
+        varies = np.flatnonzero(x[at].max(0) > x[at].min(0)) if len(at) > 1 else []
+        if level == depth or ones in (0, 1) or not len(varies):
+            return ones
+        best = None
+        for f in rng.permutation(varies)[: max(1, round(x.shape[1] ** 0.5))]:
+            cut = rng.uniform(x[at, f].min(), x[at, f].max())
+            left = x[at, f] < cut
+            if left.all() or not left.any():
+                continue
+            cost = sum(y[s].mean() * (1 - y[s].mean()) * len(s) for s in (at[left], at[~left]))
+            if best is None or cost < best[0]:
+                best = cost, f, cut, left
+        if best is None:
+            return ones
+        return best[1], best[2], grow(at[best[3]], level + 1), grow(at[~best[3]], level + 1)
+
+    def ask(node, row):
+        while isinstance(node, tuple):
+            node = node[2] if row[node[0]] < node[1] else node[3]
+        return node
+
+    made = [grow(np.arange(len(x)), 0) for _ in range(trees)]
+    return lambda rows: np.array([np.mean([ask(t, r) for t in made]) for r in rows])
+
+
+def test_extra_trees(spark, vectors, dealt):
+    """As good as trees grown node by node, a cut of its own in every node, equal for any dealing."""
+    held = vectors.collect()
+    x = np.array([r["features"].toArray() for r in held])
+    y = np.array([r[LABEL] for r in held])
+    learn = np.array([int(r["row_id"]) % 4 != 0 for r in held])
+    brute = brute_extra_trees(x[learn], y[learn], 60, 8, np.random.default_rng(1))
+    want = ((brute(x[~learn]) > 0.5) == y[~learn]).mean()
+    seen = []
+    for partitions, batch in dealt:
+        settings(spark, partitions, batch)
+        model = models.fit_extra_trees(vectors.filter("row_id % 4 != 0").repartition(partitions), 3, trees=60, depth=8)
+        got = models.score(model, vectors.filter("row_id % 4 = 0"), ["row_id"]).collect()
+        seen.append({r["row_id"]: r["y_test_prob"] for r in got})
+    assert seen[0] == seen[1] and len(seen[0]) == (~learn).sum()
+    right = np.mean([r["y_test"] == r["y_test_prediction"] for r in got])
+    assert abs(right - want) < 0.02 and want > 0.85
+    forest = model.forest
+    inner = forest.feature >= 0
+    assert inner.sum() > 60 * 20 and len(set(forest.cut[inner])) == inner.sum()
+    assert (forest.left[inner] > np.flatnonzero(inner)).all()
+    entropy = models.fit_extra_trees(vectors, 3, trees=5, depth=3, criterion="entropy")
+    assert len(entropy.forest.feature) <= 5 * 15
+
+
+def test_extra_trees_of_few_rows(spark, vectors):
+    one = vectors.filter(F.col(LABEL) == 1)
+    assert models.score(models.fit_extra_trees(one, 3, trees=3), one, ["row_id"]).filter("y_test_prob <> 1").count() == 0
+    none = models.fit_extra_trees(vectors.limit(0), 3, trees=3)
+    assert models.score(none, vectors, ["row_id"]).filter("y_test_prob <> 0").count() == 0
+
+
+def test_gaussian_bayes_follows_its_formula(vectors):
+    held = vectors.orderBy("row_id").collect()
+    x = np.array([r["features"].toArray() for r in held])
+    y = np.array([r[LABEL] for r in held])
+    for smoothing in (1e-9, 0.5):
+        logs = []
+        for c in (0, 1):
+            mean, var = x[y == c].mean(0), x[y == c].var(0) + smoothing * x.var(0).max()
+            logs.append(np.log((y == c).mean()) - 0.5 * (np.log(2 * np.pi * var) + (x - mean) ** 2 / var).sum(1))
+        want = 1 / (1 + np.exp(logs[0] - logs[1]))
+        scored = models.score(models.gaussian_nb(smoothing).fit(vectors), vectors, ["row_id"])
+        got = [r["y_test_prob"] for r in scored.orderBy("row_id").collect()]
+        assert got == pytest.approx(want.tolist(), abs=1e-9)
+
+
+def test_saved_models_score_alike(vectors, tmp_path):
+    made = {
+        "boosted": models.fit_ada_boost(vectors, rounds=3),
+        "extra": models.fit_extra_trees(vectors, 3, trees=3, depth=4),
+        "bayes": models.gaussian_nb().fit(vectors),
+        "stacked": models.fit_stacking(
+            models.with_folds(vectors, 2), [models.decision_tree(), models.gaussian_nb()], folds=2),
+    }
+    made["voting"] = models.soft_voting([made["boosted"], models.soft_voting([made["extra"], made["bayes"]])])
+    for name, model in made.items():
+        models.save_model(model, f"{tmp_path}/{name}")
+        again = type(model).load(f"{tmp_path}/{name}")
+        one, two = ({r["row_id"]: r["y_test_prob"] for r in models.score(m, vectors, ["row_id"]).collect()} for m in (model, again))
+        assert one == two
+
+
 def test_importance_finds_the_signal(rows, vectors):
     model = models.logistic_regression().fit(vectors)
 
