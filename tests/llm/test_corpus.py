@@ -394,50 +394,36 @@ def test_near_duplicates_odd(odd, empty):
 # 7 lines
 
 
-def brute_lines(texts, least=50):
-    docs = {}
+def every_earlier_lines(texts, least=50):
+    """Texts without runs of ``least`` words or more that repeat any earlier run of lines."""
+    seen, out = set(), {}
     for i in sorted(texts):
         lines = texts[i].split("\n")
-        docs[i] = [
-            (p, x.strip(" \t\r\x0b\x0c"), len(re.findall(r"[^\x20\x09-\x0D]+", x)))
-            for p, x in enumerate(lines)
-            if re.search(r"[^\x20\x09-\x0D]", x)
-        ]
-    first, out = {}, {}
-    for i, rows in docs.items():
+        rows = [(p, x.strip(" \t\r\x0b\x0c"), len(re.findall(r"[^\x20\x09-\x0D]+", x))) for p, x in enumerate(lines)]
+        rows = [r for r in rows if r[2]]
         gone = set()
         for k in range(len(rows)):
-            n, e = 0, k
-            while e < len(rows) and n < least:
+            n = 0
+            for e in range(k, len(rows)):
                 n += rows[e][2]
-                e += 1
-            if n < least:
-                continue
-            content = tuple(r[1] for r in rows[k:e])
-            if content not in first:
-                first[content] = (i, k)
-                continue
-            j, q = first[content]
-            other, lo, hi = docs[j], 0, len(content)
-            while k + lo > 0 and q + lo > 0 and rows[k + lo - 1][1] == other[q + lo - 1][1]:
-                lo -= 1
-            while k + hi < len(rows) and q + hi < len(other) and rows[k + hi][1] == other[q + hi][1]:
-                hi += 1
-            gone |= set(range(rows[k + lo][0], rows[k + hi - 1][0] + 1))
-        lines = texts[i].split("\n")
+                content = tuple(r[1] for r in rows[k : e + 1])
+                if n >= least and content in seen:
+                    gone |= set(range(rows[k][0], rows[e][0] + 1))
+                elif n >= least:
+                    seen.add(content)
         out[i] = "\n".join(x for p, x in enumerate(lines) if p not in gone)
     return out
 
 
 def check_lines(df, texts):
     got = {r[0]: r[1] for r in linededup.drop_repeated_lines(df).select("row.doc_id", "text").collect()}
-    want = brute_lines(texts)
+    want = every_earlier_lines(texts)
     assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {} and set(got) == set(want)
 
 
 def test_line_dedup(docs, texts):
     check_lines(docs, texts)
-    assert sum(a != b for a, b in zip(brute_lines(texts).values(), [texts[i] for i in sorted(texts)])) > 10
+    assert sum(a != b for a, b in zip(every_earlier_lines(texts).values(), [texts[i] for i in sorted(texts)])) > 10
 
 
 def test_line_dedup_runs(spark):
@@ -461,27 +447,6 @@ def test_line_dedup_odd(odd, empty):
     assert linededup.drop_repeated_lines(empty).count() == 0
 
 
-def every_earlier_lines(texts, least=50):
-    """As ``brute_lines``, but a run is held against every earlier position, not one."""
-    seen, out = set(), {}
-    for i in sorted(texts):
-        lines = texts[i].split("\n")
-        rows = [(p, x.strip(" \t\r\x0b\x0c"), len(re.findall(r"[^\x20\x09-\x0D]+", x))) for p, x in enumerate(lines)]
-        rows = [r for r in rows if r[2]]
-        gone = set()
-        for k in range(len(rows)):
-            n = 0
-            for e in range(k, len(rows)):
-                n += rows[e][2]
-                content = tuple(r[1] for r in rows[k : e + 1])
-                if n >= least and content in seen:
-                    gone |= set(range(rows[k][0], rows[e][0] + 1))
-                elif n >= least:
-                    seen.add(content)
-        out[i] = "\n".join(x for p, x in enumerate(lines) if p not in gone)
-    return out
-
-
 def test_line_dedup_follows_every_earlier_position(spark):
     x, y, z = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("x", 60), ("y", 30), ("z", 30)))
     three = {1: f"{x}\n{y}", 2: f"{x}\n{z}", 3: f"{x}\n{z}\nend"}
@@ -586,7 +551,7 @@ def test_pipeline(spark, texts):
     first = {r.doc_id: r.text for r in seen["quality"]}
     assert set(first) < set(texts)
     second = {r.doc_id: r.text for r in seen["line_dedup"]}
-    assert second == brute_lines(first)
+    assert second == every_earlier_lines(first)
     near = brute_components(second)
     third = {r.doc_id: r.text for r in seen["near_dedup"]}
     assert third == {i: second[i] for i, (_, c) in near.items() if c == i}
