@@ -433,6 +433,22 @@ SQL["p02_standard_scale"] = with_(_SCALE, "SELECT cid, catid, " + ", ".join(
 SQL["p03_max_scale"] = with_(_SCALE, "SELECT cid, catid, " + ", ".join(
     rnd(f"{c} / (SELECT max({c}) FROM s)", c) for c in _COLS) + " FROM s")
 
+_BAYES = cat(2) + [f"""s AS (
+  SELECT cid, catid, reorder_label AS y, days_since_prior_order, u_t_lines, u_t_reorder_rate, u_t_orders_since_last
+  FROM context_2 JOIN (SELECT cid, catid, count(*) AS u_t_lines, avg(cat_reordered) AS u_t_reorder_rate
+    FROM prior_2 GROUP BY cid, catid) USING (cid, catid)
+  JOIN ({since_last(2, 'catid', 'u_t_orders_since_last')}) USING (cid, catid))""",
+    "bayes_eps AS (SELECT 0.01 * greatest(" + ", ".join(f"var_pop({c})" for c in _COLS) + ") AS eps FROM s)",
+    "moments AS (SELECT y, count(*) AS n, " + ", ".join(
+        f"avg({c}) AS m_{c}, var_pop({c}) + (SELECT eps FROM bayes_eps) AS v_{c}" for c in _COLS) + " FROM s GROUP BY y)",
+    "likelihoods AS (SELECT s.cid, s.catid, s.y, m.y AS k, ln(n / (SELECT count(*) FROM s)) - 0.5 * (" + " + ".join(
+        f"ln(2 * pi() * v_{c}) + (s.{c} - m_{c}) * (s.{c} - m_{c}) / v_{c}" for c in _COLS) + ") AS f FROM s CROSS JOIN moments AS m)",
+    """posteriors AS (SELECT cid, catid, y, 1 / (1 + exp(max(f) FILTER (WHERE k = 0) - max(f) FILTER (WHERE k = 1))) AS q
+  FROM likelihoods GROUP BY cid, catid, y)""",
+]
+SQL["m02_gaussian_nb_smoothed"] = with_(_BAYES, f"""
+SELECT cid, catid, y AS y_test, {rnd('q', 'y_test_prob')}, CASE WHEN q > 0.5 THEN 1 ELSE 0 END AS y_test_prediction FROM posteriors""")
+
 _TRAIN = " + ".join(
     f"(SELECT count(*) FROM ({input_category(k)}) WHERE reorder_label = 0{cond})"
     for k, cond in ((2, ""), (1, " AND (cid * 7919 + 104729) % 1000 < 700")))

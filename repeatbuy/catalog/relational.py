@@ -6,7 +6,14 @@ from pyspark.sql import functions as F
 
 from repeatbuy.catalog.registry import query
 from repeatbuy.functions.expr import zero_to_one
-from repeatbuy.functions.fixed import CATEGORY, ITEM
+from repeatbuy.functions.fixed import (
+    CATEGORY,
+    CATEGORY_COLUMNS,
+    CLASS_COLUMNS,
+    ITEM,
+    ITEM_COLUMNS,
+    ORDER_COLUMNS,
+)
 from repeatbuy.functions.skew import attach
 from repeatbuy.operators import clean, explore, features, holdout, outliers, price, timeline
 from repeatbuy.plans import inputs
@@ -41,24 +48,30 @@ def history(ws, level=1, grain=ITEM):
 # --- sources and sinks ---------------------------------------------------------------------
 
 
+def _through_csv(ws, rows, names, read):
+    """The rows as a file of the source's layout, read back by the library's reader."""
+    path = fresh_path(ws.spark, "csv")
+    return read(ws.spark, path, fixture.write_source_csv(rows, path, names))
+
+
 @query("s01_read_orders")
 def _(ws):
-    return fixture.order_lines(ws.spark, ws.sf_dir)
+    return clean.parse_timestamp(_through_csv(ws, ws.raw, ORDER_COLUMNS, tables.read_orders))
 
 
 @query("s02_read_class")
 def _(ws):
-    return ws.classes
+    return _through_csv(ws, ws.classes, CLASS_COLUMNS, tables.read_class)
 
 
 @query("s03_read_category")
 def _(ws):
-    return fixture.categories(ws.spark, ws.sf_dir)
+    return _through_csv(ws, fixture.categories(ws.spark, ws.sf_dir), CATEGORY_COLUMNS, tables.read_category)
 
 
 @query("s04_read_items")
 def _(ws):
-    return fixture.items(ws.spark, ws.sf_dir)
+    return _through_csv(ws, fixture.items(ws.spark, ws.sf_dir), ITEM_COLUMNS, tables.read_items)
 
 
 @query("s05_rename_columns")

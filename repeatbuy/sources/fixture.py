@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from repeatbuy.functions.skew import Sizes, attach
 
@@ -88,3 +93,27 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .distinct()
         .select("classid", F.lower("classid").alias("class_name"), "primaryparentid")
     )
+
+
+def write_source_csv(rows: DataFrame, path: str, names: Mapping[str, str]) -> T.StructType:
+    """Write rows as CSV with the source's own header, in which names repeat; ``names`` maps numbered
+    source names to the columns. The schema to read them with."""
+    back = {own: source for source, own in names.items()}
+    order = sorted(rows.columns, key=lambda c: list(names.values()).index(c) if c in back else len(names))
+    schema = T.StructType()
+    for c in order:
+        kind = rows.schema[c].dataType
+        schema = schema.add(back.get(c, c), T.StringType() if isinstance(kind, T.TimestampType) else kind)
+    header = ",".join(re.sub(r"\.\d+$", "", f.name) for f in schema.fields)
+    texts = [
+        F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) if rows.schema[c].dataType == T.TimestampType() else F.col(c)
+        for c in order
+    ]
+    lines = rows.select(F.to_csv(F.struct(*texts)).alias("value"))
+
+    def with_header(frames):
+        yield pd.DataFrame({"value": [header]})
+        yield from frames
+
+    lines.mapInPandas(with_header, "value string").write.text(path)
+    return schema

@@ -26,11 +26,31 @@ def test_read_orders(spark, orders_csv):
     assert got[1]["segmentationlabel"] is None and got[1]["price"] == 450.0
 
 
-def test_moved_columns_are_refused(spark, tmp_path):
+def test_columns_are_found_by_header(spark, tmp_path):
+    """Moved and further columns are read into the right fields; a missing one is an error."""
     path = tmp_path / "CLASS.csv"
-    path.write_text("name,id,primaryparentid\nmilk,1,\n")
-    with pytest.raises(Exception):
-        tables.read_class(spark, str(path)).collect()
+    path.write_text("name,more,id,primaryparentid\nmilk,x,1,\n")
+    assert tables.read_class(spark, str(path)).collect() == [(1, "milk", None)]
+    path.write_text("name,id\nmilk,1\n")
+    with pytest.raises(ValueError, match="primaryparentid"):
+        tables.read_class(spark, str(path))
+    path.write_text("")
+    assert tables.read_class(spark, str(path)).collect() == []
+
+
+def test_repeated_header_names(spark, tmp_path):
+    folder = tmp_path / "ORDERS"
+    folder.mkdir()
+    header = "id,id,id,categoryid,id,quantitystepcount,totaloriginalprice,?column?,marketid,segmentationlabel,checkoutdate\n"
+    (folder / "a.csv").write_text(header + "1,10,5,51,100,2,900,3,7,loyal,2023-05-01 10:11:12.000345\n")
+    (folder / "b.csv").write_text(header + '2,10,6,52,101,1,450,1,7,"a, b",2023-05-03 10:11:12.5\n3,x,6,52,101,1,1,1,7,,\n4,10\n')
+    got = tables.read_orders(spark, str(folder)).orderBy("bid").collect()
+    assert [(r["bid"], r["cid"], r["catid"], r["classid"], r["iid"], r["segmentationlabel"]) for r in got] == [
+        (1, 10, 5, 51, 100, "loyal"), (2, 10, 6, 52, 101, "a, b"),
+    ]
+    bad = tables.read_rejects(spark, str(folder), tables.ORDERS_SCHEMA).orderBy("line").collect()
+    assert [r["line"] for r in bad] == ["3,x,6,52,101,1,1,1,7,,", "4,10"]
+    assert all(r["file"].endswith("b.csv") for r in bad) and '"id":3' in bad[0]["fields"]
 
 
 def test_read_dimensions(spark, tmp_path):
@@ -56,11 +76,12 @@ def test_feature_runs(spark, tmp_path):
     assert tables.read_features(spark, path, "2").count() == 6
 
 
-def test_reports_append(spark, tmp_path):
+def test_a_report_written_twice_is_there_once(spark, tmp_path):
     path = str(tmp_path / "reports")
-    for run in ("1", "2"):
+    for run in ("1", "2", "1"):
         tables.write_report(spark.range(2), path, "tree", "standard", run)
-    assert spark.read.parquet(path).groupBy("run").count().count() == 2
+    rows = spark.read.parquet(path).groupBy("run").count().collect()
+    assert sorted((str(r["run"]), r["count"]) for r in rows) == [("1", 2), ("2", 2)]
 
 
 def test_stage_uses_the_named_folder(spark):
