@@ -19,7 +19,7 @@ from repeatbuy.functions.fixed import (
     STACKED_FEATURES,
 )
 from repeatbuy.functions.skew import Sizes, attach
-from repeatbuy.operators import evaluate, features, holdout, models, prepare
+from repeatbuy.operators import evaluate, features, holdout, models, prepare, search
 from repeatbuy.plans import inputs
 from repeatbuy.plans.staging import fresh_path, stage
 from repeatbuy.plans.workspace import ROW
@@ -236,6 +236,18 @@ def _(ws):
     return models.search_fits(train, models.fit_ada_boost, {"rounds": [2, 4]}, folds=2)
 
 
+@query("m14_search_families")
+def _(ws):
+    """Points of several families over ten stored folds, from one ledger; a second call finds nothing
+    left to do. The grids of trees and boosting take hours here and are left to callers."""
+    train = stage(folded(ws, 10), "folds")
+    few = {k: models.GRIDS[k] for k in ("logistic", "gnb")}
+    groups = search.all_grids(len(ws.frames.columns), few) + search.boosting_grid([0.1, 1.0], [2, 5])
+    ledger = fresh_path(ws.spark, "ledger")
+    search.search(train, groups, 10, ledger)
+    return search.ranking(search.search(train, groups, 10, ledger))
+
+
 @query("m15_batch_training")
 def _(ws):
     frames = ws.frames

@@ -194,20 +194,21 @@ def impurity(n: np.ndarray, ones: np.ndarray, criterion: str) -> np.ndarray:
 
 def fit_extra_trees(
     train: DataFrame, n_features: int, trees: int = 100, depth: int = 10, min_rows: int = 2,
-    criterion: str = "gini", seed: int = 42,
+    criterion: str = "gini", min_share: float = 0.0, seed: int = 42,
 ) -> ExtraTrees:
     """Trees without bootstrap: a node draws about the square root of its varying features and one
     random cut for each between that node's own ends, and takes the cut that lowers impurity most.
 
     The same for any partitioning: counts and ends are exact, and draws depend on tree order only.
-    Nodes end at ``depth``, below ``min_rows`` rows, with one class, or with no varying feature. To
+    Nodes end at ``depth``, below ``min_rows`` rows, with one class, with no varying feature, or where
+    a side would hold less than ``min_share`` of all rows. To
     the driver come one row per open node and cut, at most trees * 2**depth of them a level.
     """
     spark = train.sparkSession
     x = vector_to_array(FEATURES)
     rows = stage(train.select(x.alias("x"), F.col(LABEL).cast("double").alias("y")), "tree-rows")
     drawn = max(1, round(n_features**0.5))
-    forest, open_nodes = Forest(trees), np.arange(trees)
+    forest, open_nodes, total = Forest(trees), np.arange(trees), 0
     for level in range(depth):
         children = []
         for part, at in enumerate(range(0, len(open_nodes), OPEN)):
@@ -222,6 +223,7 @@ def fit_extra_trees(
             low = found[[f"low{i}" for i in range(n_features)]].to_numpy(float)
             high = found[[f"high{i}" for i in range(n_features)]].to_numpy(float)
             forest.share[node] = ones / n
+            total = int(n.max()) if level == 0 else total
             rng = np.random.default_rng([seed, level, part])
             turn, where = rng.random(low.shape), rng.random(low.shape)
             turn[~(high > low)] = np.inf  # NaN and constant features aren't drawn
@@ -240,7 +242,12 @@ def fit_extra_trees(
             left = _sides(rows, forest, slot, features, np.where(varies, cuts, -np.inf))
             both = np.stack([left, np.stack([n, ones], 1)[:, None, :] - left], 2)  # node, cut, side, count
             after = impurity(both[..., 0], both[..., 1], criterion).sum(2)
-            best = np.where(varies, after, np.inf).argmin(1)
+            allowed = varies & (both[..., 0].min(2) >= min_share * total)
+            best = np.where(allowed, after, np.inf).argmin(1)
+            row = np.flatnonzero(allowed.any(1))
+            if not len(row):
+                continue
+            node, best, features, cuts, both = node[row], best[row], features[row], cuts[row], both[row]
             row = np.arange(len(node))
             sides = both[row, best]
             children.append(forest.split(node, features[row, best], cuts[row, best], sides[..., 1] / sides[..., 0]))

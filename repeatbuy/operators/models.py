@@ -281,13 +281,21 @@ def grid_search(
     ).fit(train)
 
 
-# The tuning grids, in Spark ML's parameter names. L1 / L2 penalties are
-# elasticNetParam 1 / 0, regParam is the inverse of the penalty weight C.
+# The tuning grids, in the library's parameter names. L1 / L2 penalties are
+# elasticNetParam 1 / 0, regParam is the inverse of the penalty weight C; log loss is entropy. Without
+# counterpart: solvers, boosting by class probabilities (SAMME.R), and a depth of 60, as Spark ML's
+# trees end at 30.
 GRIDS = {
     "logistic": {"regParam": [10.0, 1.0], "elasticNetParam": [0.0, 1.0], "maxIter": [200]},
     "gnb": {"smoothing": [1e-9, 1e-10, 1e-8, 1e-11]},
-    "forest": {"numTrees": [10, 50, 200], "impurity": ["gini", "entropy"], "maxDepth": [30]},
-    "extra": {"trees": [10, 50, 200], "depth": [30]},
+    "forest": {
+        "numTrees": [10, 50, 200], "impurity": ["gini", "entropy"], "maxDepth": [30],
+        "minWeightFractionPerNode": [0.0, 0.2, 0.5],
+    },
+    "extra": {
+        "trees": [10, 50, 200], "criterion": ["gini", "entropy"], "depth": [30],
+        "min_share": [0.0, 0.2, 0.5],
+    },
     "ada": {"rounds": [10, 50, 100, 200], "rate": [0.1, 1.0, 10.0]},
     "boosted": {"stepSize": [0.1], "maxDepth": [3, 5], "maxIter": [100]},
 }

@@ -2,10 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from repeatbuy.functions.fixed import LABEL
-from repeatbuy.operators import evaluate, features, models, neighbours, prepare
+from repeatbuy.operators import evaluate, features, models, neighbours, prepare, search
 
 COLUMNS = ["a", "b", "noise"]
 
@@ -286,6 +287,40 @@ def test_saved_models_score_alike(vectors, tmp_path):
         assert one == two
 
 
+def test_search_over_families_resumes(spark, vectors, tmp_path):
+    folds = models.with_folds(vectors, 3)
+    fits = []
+
+    def counted(rows, **params):
+        fits.append(params)
+        return models.logistic_regression(**params).fit(rows)
+
+    groups = search.grid("logistic", counted, {"regParam": [0.0, 0.1]})
+    groups += search.grid("gnb", lambda rows, **p: models.gaussian_nb(**p).fit(rows), {"smoothing": [1e-9]})
+    groups += search.boosting_grid([1.0], [1, 3])
+    path = f"{tmp_path}/ledger"
+    search.search(folds, groups[:1], 1, path)
+    assert len(fits) == 1
+    ledger = search.search(folds, groups, 3, path)
+    assert len(fits) == 6  # one of the six was there
+    rows = {(r["family"], r["params"]): r for r in search.ranking(ledger).collect()}
+    assert len(rows) == 5 and all(r["folds"] == 3 for r in rows.values())
+    search.search(folds, groups, 3, path)
+    assert len(fits) == 6
+    # The metric of one point equals Spark ML's own, up to the steps of the curve.
+    model = models.logistic_regression(regParam=0.1)
+    judge = BinaryClassificationEvaluator(labelCol=LABEL, metricName="areaUnderPR", numBins=0)
+    want = [judge.evaluate(model.fit(folds.filter(f"fold != {f}")).transform(folds.filter(f"fold = {f}"))) for f in range(3)]
+    assert rows["logistic", "regParam=0.1"]["metric"] == pytest.approx(np.mean(want), abs=0.005)
+    assert rows["ada", "rate=1.0, rounds=3"]["accuracy"] >= rows["ada", "rate=1.0, rounds=1"]["accuracy"] - 0.02
+
+
+def test_grids_cover_every_family():
+    groups = search.all_grids(3)
+    assert {g.family for g in groups} == set(models.GRIDS)
+    assert sum(len(g.points) for g in groups) == 4 + 4 + 18 + 18 + 12 + 2
+
+
 def test_importance_finds_the_signal(rows, vectors):
     model = models.logistic_regression().fit(vectors)
 
