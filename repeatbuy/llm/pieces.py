@@ -61,7 +61,9 @@ class Codec:
         self.unknown, self.text = model["unknown"], model["text"]
         self.longest = max(map(len, self.plain), default=1)
         # Caches live with the model: a worker keeps a broadcast value from task to task.
-        self.pairs: dict[tuple[str, str], bool] = model.setdefault("pairs", {})
+        self.pairs: dict[str, dict[str, bool]] = model.setdefault("pairs", {})  # by left, by right piece
+        self.tested = sum(map(len, self.pairs.values()))
+        self.split: dict[str, tuple[str, ...]] = model.setdefault("split", {})
         self.known: dict[str, bytes] = model.setdefault("known", {})
         self.older: dict[str, bytes] = model.setdefault("older", {})
         self.raw: dict[str, bytes] = model.setdefault("raw", {})
@@ -81,34 +83,70 @@ class Codec:
 
     def holds(self, left: str, right: str) -> bool:
         """Whether merging the two pieces' characters by rank ends in just these two pieces."""
-        hit = self.pairs.get((left, right))
+        known = self.pairs.get(left)
+        if known is None:
+            known = self.pairs[left] = {}
+        hit = known.get(right)
         if hit is None:
-            if len(self.pairs) >= CACHED:
+            if self.tested >= CACHED:
                 self.pairs.clear()
-            hit = self.pairs[left, right] = self.merged(left, right)
+                self.tested, known = 0, self.pairs.setdefault(left, {})
+            hit = known[right] = self.merged(left, right)
+            self.tested += 1
+        return hit
+
+    def halves(self, piece: str) -> tuple[str, ...] | None:
+        """The two parts whose merge, the last one by rank, makes the piece; None for a character, and
+        nothing for a piece that merging never ends in."""
+        if len(piece) < 2:
+            return None
+        hit = self.split.get(piece)
+        if hit is None:
+            none = (-np.inf,)
+            parts, hit = list(piece), ()
+            scores = [self.plain.get(a + b, none)[0] for a, b in zip(parts, parts[1:])]
+            while scores and (best := max(scores)) > -np.inf:
+                at = scores.index(best)
+                hit = parts[at], parts[at + 1]
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                del scores[at]
+                if at:
+                    scores[at - 1] = self.plain.get(parts[at - 1] + parts[at], none)[0]
+                if at < len(scores):
+                    scores[at] = self.plain.get(parts[at] + parts[at + 1], none)[0]
+            hit = hit if len(parts) == 1 else ()
+            if len(self.split) >= CACHED:
+                self.split.clear()
+            self.split[piece] = hit
         return hit
 
     def merged(self, left: str, right: str) -> bool:
-        """Merges by rank, best first and leftmost among equals; False once a part of ``left`` is
-        joined to a part of ``right``."""
-        none = (-np.inf,)
-        parts, border = list(left + right), len(left)
-        scores = [self.plain.get(a + b, none)[0] for a, b in zip(parts, parts[1:])]
-        while scores:
-            best = max(scores)
-            if best == -np.inf:
-                break
-            at = scores.index(best)
-            if at == border - 1:
+        """Whether merging by rank, best first and leftmost among equals, never joins a part of
+        ``left`` to a part of ``right``.
+
+        Merges are taken back, the latest first, while looking at the two parts that meet at the
+        border: they would have been joined if their merge came before the one just taken back.
+        """
+        a, b = self.halves(left), self.halves(right)
+        if a == () or b == ():
+            return False
+        if not left:
+            return True
+        plain, none = self.plain, (-np.inf,)
+        limit, first = -np.inf, True  # a merge of this score goes first if it is equal, too
+        while True:
+            over = plain.get(left + right, none)[0]
+            if over > limit or (first and over == limit and over > -np.inf):
                 return False
-            border -= at < border - 1
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del scores[at]
-            if at:
-                scores[at - 1] = self.plain.get(parts[at - 1] + parts[at], none)[0]
-            if at < len(scores):
-                scores[at] = self.plain.get(parts[at] + parts[at + 1], none)[0]
-        return len(parts) == (2 if left else 1)
+            if a is None and b is None:
+                return True
+            # The lower score was merged later; among equals the right one was.
+            if b is None or (a is not None and plain[left][0] < plain[right][0]):
+                limit, first, left = plain[left][0], False, a[1]
+                a = self.halves(left)
+            else:
+                limit, first, right = plain[right][0], True, b[0]
+                b = self.halves(right)
 
     def pieces(self, chars: str) -> Iterator[list[str]]:
         """Pieces of a text in order, given out in lists once no path can change them."""
@@ -134,7 +172,8 @@ class Codec:
                     if left or k == room:
                         piece = chars[i - k : i]
                         if k < 5 or piece in plain:
-                            hit = pairs.get((left, piece))
+                            known = pairs.get(left)
+                            hit = None if known is None else known.get(piece)
                             if hit is None:
                                 hit = holds(left, piece)
                             if hit:
