@@ -69,7 +69,9 @@ for _s, _g in GRAINS.items():
 
     @query(f"f14_order_rate_{_s}")
     def _(ws, s=_s, g=_g):
-        return features.pair_order_rate(history(ws, s), g.key)
+        return features.pair_order_rate(
+            history(ws, s), g.key, ws.sizes("item" if s == "item" else "category")
+        )
 
     @query(f"f15_reorder_rate_{_s}")
     def _(ws, s=_s, g=_g):
@@ -177,19 +179,19 @@ def _(ws):
 
 @query("f20_user_product_features")
 def _(ws):
-    return features.user_product_features(ws.item.lines, ws.item.walks["iid"], 1)
+    return features.user_product_features(ws.item.lines, ws.item.walks["iid"], 1, ws.sizes("item"))
 
 
 @query("f21_user_cat_features_item")
 def _(ws):
     return features.user_cat_features(
-        ws.item.lines, ws.item.walks["catid"], 1, by_class=False
+        ws.item.lines, ws.item.walks["catid"], 1, by_class=False, sizes=ws.sizes("item")
     )
 
 
 @query("f21_user_cat_features_cat")
 def _(ws):
-    return features.user_cat_features(ws.category.lines, ws.category.walks["catid"], 1)
+    return features.user_cat_features(ws.category.lines, ws.category.walks["catid"], 1, sizes=ws.sizes("category"))
 
 
 @query("f22_product_week_reorder_rate")

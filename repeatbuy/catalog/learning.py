@@ -18,7 +18,7 @@ from repeatbuy.functions.fixed import (
     REDUCED_FEATURES,
     STACKED_FEATURES,
 )
-from repeatbuy.functions.skew import Sizes, attach
+from repeatbuy.functions.skew import attach
 from repeatbuy.operators import evaluate, features, holdout, models, prepare, search
 from repeatbuy.plans import inputs
 from repeatbuy.plans.staging import fresh_path, stage
@@ -32,7 +32,8 @@ def fixed_scores(ws):
     labels = holdout.label_set(ws.category.lines, CATEGORY, 1)
     history = ws.category.lines.filter(F.col("from_last") > 1)
     rate = features.pair_reorder_rate(history, CATEGORY)
-    return attach(labels, rate, ["cid", "catid"]).select(
+    # Both are grouped by the pair: the join needs no further shuffle.
+    return labels.join(rate, ["cid", "catid"]).select(
         "cid", "catid", F.col(LABEL).alias("y_test"),
         F.col("u_t_reorder_rate").alias("y_test_prob"),
         (F.col("u_t_reorder_rate") > 0.5).cast("int").alias("y_test_prediction"),
@@ -45,7 +46,7 @@ def scale_inputs(ws):
     """A small exact table to scale: gap, lines and rates of the train holdout."""
     labels = holdout.label_set(ws.category.lines, CATEGORY, 2, context=True)
     pairs = features.pair_summary(ws.category.lines, "catid", "cat_reordered", 2)
-    return attach(labels, pairs, ["cid", "catid"]).select(
+    return labels.join(pairs, ["cid", "catid"]).select(
         "cid", "catid", "days_since_prior_order", "u_t_lines", "u_t_reorder_rate",
         "u_t_orders_since_last",
     )
@@ -68,7 +69,7 @@ def summed(vectors, *keys):
 def stacked_test(ws):
     """Test rows of the stacked input with the reduced class features."""
     rows = inputs.stack(ws.holdouts).filter(F.col("split") == "test")
-    return attach(rows, ws.reduced, ["catid"]).fillna(0, subset=RATIO_FEATURES)
+    return attach(rows, ws.reduced, ["catid"], sizes=ws.sizes("category")).fillna(0, subset=RATIO_FEATURES)
 
 
 @query("p01_select_features_item")
@@ -175,7 +176,7 @@ def bayes_rows(ws):
     """The small exact table with its label, as vectors."""
     labels = holdout.label_set(ws.category.lines, CATEGORY, 2, context=True)
     pairs = features.pair_summary(ws.category.lines, "catid", "cat_reordered", 2)
-    rows = attach(labels, pairs, ["cid", "catid"], sizes=Sizes(ws.category.lines, staged=True))
+    rows = labels.join(pairs, ["cid", "catid"])
     return stage(prepare.select_features(rows, SCALE_COLUMNS, ["cid", "catid"]), "bayes")
 
 

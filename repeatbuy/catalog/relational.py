@@ -234,7 +234,7 @@ def _(ws):
 @query("c20_keep_cohort")
 def _(ws):
     labels = holdout.label_set(ws.category.lines, CATEGORY, 1)
-    return clean.keep_cohort(labels, clean.loyal_cohort(ws.raw, fixture.FIXTURE_LOYAL))
+    return clean.keep_cohort(labels, clean.loyal_cohort(ws.raw, fixture.FIXTURE_LOYAL), ws.sizes("category"))
 
 
 @query("c21_gap_cutoff")
@@ -289,26 +289,26 @@ def _(ws):
 @query("j01_inner_equi")
 def _(ws):
     labels = holdout.label_set(ws.item.lines, ITEM, 1)
-    return attach(labels, features.product_reorder_rate(history(ws, 1)), ["iid"])
+    return attach(labels, features.product_reorder_rate(history(ws, 1)), ["iid"], sizes=ws.sizes("item"))
 
 
 @query("j02_left_equi")
 def _(ws):
     labels = holdout.label_set(ws.item.lines, ITEM, 1, context=True).drop("checkoutdate")
     week = features.week_share(holdout.gap_lines(ws.item.lines, 1), "iid")
-    return attach(labels, week, ["iid", "day_of_week"], "left")
+    return attach(labels, week, ["iid", "day_of_week"], "left", ws.sizes("item"))
 
 
 @query("j03_semi")
 def _(ws):
     cohort = clean.loyal_cohort(ws.raw, fixture.FIXTURE_LOYAL)
-    return attach(ws.raw, cohort, ["cid"], "left_semi").select(*CORE)
+    return attach(ws.raw, cohort, ["cid"], "left_semi", ws.sizes("raw")).select(*CORE)
 
 
 @query("j04_anti")
 def _(ws):
     last = holdout.last_basket(timeline.basket_rows(ws.raw)).select("cid", "bid")
-    return attach(ws.raw, last, ["cid", "bid"], "left_anti").select(*CORE)
+    return attach(ws.raw, last, ["cid", "bid"], "left_anti", ws.sizes("raw")).select(*CORE)
 
 
 @query("j05_full_outer")
@@ -316,7 +316,7 @@ def _(ws):
     """Both sides have the same customers, so the outer join equals an inner one."""
     last = ws.item.lines.groupBy("cid", "iid").agg(F.max("order_number").alias("last_order"))
     users = ws.item.lines.groupBy("cid").agg(F.max("order_number").alias("orders"))
-    return attach(last, users, ["cid"])
+    return attach(last, users, ["cid"], sizes=ws.sizes("item"))
 
 
 @query("j06_self_join")
@@ -331,13 +331,13 @@ def _(ws):
 
 @query("j07_level_aligned_divide")
 def _(ws):
-    return features.pair_order_rate(ws.item.lines, "catid")
+    return features.pair_order_rate(ws.item.lines, "catid", ws.sizes("item"))
 
 
 @query("j08_composite_isin")
 def _(ws):
     often = ws.raw.groupBy("cid", "catid").agg(F.count("*").alias("n")).filter("n > 2")
-    return attach(ws.raw, often.select("cid", "catid"), ["cid", "catid"], "left_semi").select(*CORE)
+    return attach(ws.raw, often.select("cid", "catid"), ["cid", "catid"], "left_semi", ws.sizes("raw")).select(*CORE)
 
 
 # --- windows and set operations ------------------------------------------------------------
@@ -348,7 +348,7 @@ for _key, _name in timeline.FIRST_NAMES.items():
     @query("w01_" + {"iid": "first_purchase_item", "catid": "first_purchase_cat",
                      "classid": "first_purchase_class"}[_key])
     def _(ws, key=_key, name=_name):
-        return timeline.first_purchase(ws.raw.select("cid", "bid", *timeline.FIRST_NAMES, "checkoutdate"), key, name)
+        return timeline.first_purchase(ws.raw.select("cid", "bid", *timeline.FIRST_NAMES, "checkoutdate"), key, name, ws.sizes("raw"))
 
 
 @query("w02_reorder_flags")
@@ -370,7 +370,7 @@ def _(ws):
 
 @query("w05_days_since_prior")
 def _(ws):
-    return timeline.days_since_prior(ws.raw).select(
+    return timeline.days_since_prior(ws.raw, ws.sizes("raw")).select(
         "cid", "bid", "iid", "price", "days_since_prior_order"
     )
 
@@ -424,7 +424,7 @@ def _(ws):
 @query("w11_group_transform")
 def _(ws):
     gaps = ws.category.baskets.select("cid", "bid", "days_since_prior_order")
-    stats = timeline.group_stats(gaps, ["cid"], "days_since_prior_order")
+    stats = timeline.group_stats(gaps, ["cid"], "days_since_prior_order", ws.sizes("category"))
     inside = F.col("days_since_prior_order") <= F.col("group_mean") + F.col("group_std")
     return stats.withColumn("inside", inside.cast("int"))
 
@@ -451,7 +451,7 @@ def _(ws):
 
 @query("h01_rebase_days")
 def _(ws):
-    return holdout.rebase_days(ws.raw).select("cid", "bid", "iid", "days")
+    return holdout.rebase_days(ws.raw, ws.sizes("raw")).select("cid", "bid", "iid", "days")
 
 
 @query("h02_last_basket")
@@ -481,7 +481,10 @@ for _grain, _suffix in ((ITEM, "item"), (CATEGORY, "cat")):
     @query(f"h06_context_columns_{_suffix}")
     def _(ws, grain=_grain):
         orders = ws.item if grain == ITEM else ws.category
-        return holdout.context_columns(holdout.label_set(orders.lines, grain, 1), orders.baskets)
+        return holdout.context_columns(
+            holdout.label_set(orders.lines, grain, 1), orders.baskets,
+            ws.sizes("item" if grain == ITEM else "category"),
+        )
 
 
 @query("h07_customer_split")
@@ -560,26 +563,28 @@ def _(ws):
 @query("x06_remove_gap_outliers")
 def _(ws):
     orders = ws.category
-    kept = outliers.remove_gap_outliers(orders.lines, orders.baskets, OTLI)
+    kept = outliers.remove_gap_outliers(orders.lines, orders.baskets, OTLI, sizes=ws.sizes("category"))
     return kept.select("cid", "bid", "catid", "price")
 
 
 @query("x07_ksigma_filter_cart_size")
 def _(ws):
     sizes = ws.category.lines.groupBy("cid", "bid").agg(F.count("*").alias("cart_size"))
-    return outliers.ksigma_filter(sizes, ["cid"], "cart_size", 1)
+    return outliers.ksigma_filter(sizes, ["cid"], "cart_size", 1, sizes=ws.sizes("category"))
 
 
 @query("x07_ksigma_filter_gap")
 def _(ws):
     gaps = ws.category.baskets.select("cid", "bid", "days_since_prior_order")
-    return outliers.ksigma_filter(gaps, ["cid"], "days_since_prior_order", 2)
+    return outliers.ksigma_filter(gaps, ["cid"], "days_since_prior_order", 2, sizes=ws.sizes("category"))
 
 
 @query("x07_ksigma_filter_cat_gap")
 def _(ws):
     gaps = ws.category.gapped.select("cid", "bid", "catid", "days_since_prior_purchase")
-    return outliers.ksigma_filter(gaps, ["cid", "catid"], "days_since_prior_purchase", 2)
+    return outliers.ksigma_filter(
+        gaps, ["cid", "catid"], "days_since_prior_purchase", 2, sizes=ws.sizes("category")
+    )
 
 
 @query("x08_ksigma_features_user")
@@ -617,7 +622,7 @@ def _(ws):
 
 @query("x10_gap_probe")
 def _(ws):
-    return outliers.gap_probe(ws.category.baskets, 60, 3)
+    return outliers.gap_probe(ws.category.baskets, 60, 3, ws.sizes("category"))
 
 
 # --- exploration ---------------------------------------------------------------------------

@@ -134,8 +134,10 @@ def loyal_cohort(lines: DataFrame, labels: Sequence[str] = LOYAL_LABELS) -> Data
     return lines.filter(F.col("segmentationlabel").isin(list(labels))).select("cid").distinct()
 
 
-def keep_cohort(rows: DataFrame, cohort: DataFrame) -> DataFrame:
-    return attach(rows, cohort.select("cid").distinct(), ["cid"], "left_semi")
+def keep_cohort(
+    rows: DataFrame, cohort: DataFrame, sizes: Sizes | None = None
+) -> DataFrame:
+    return attach(rows, cohort.select("cid").distinct(), ["cid"], "left_semi", sizes)
 
 
 def gap_cutoff(rows: DataFrame, otli: int) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from repeatbuy.functions.expr import ratio
 from repeatbuy.functions.fixed import WEEKDAYS
-from repeatbuy.functions.skew import attach, ordered
+from repeatbuy.functions.skew import Sizes, attach, ordered
 from repeatbuy.operators.clean import basket_count, parent_name
+from repeatbuy.plans.staging import stage
 
 
 def class_tree(classes: DataFrame) -> DataFrame:
@@ -166,12 +167,22 @@ def cart_cost_by_segment(lines: DataFrame) -> DataFrame:
         F.round(F.sum("price"), 2).alias("_spend"),
         F.max("segmentationlabel").alias("segmentationlabel"),
     )
-    cost = spend.join(basket_count(lines), "cid").select(
-        "segmentationlabel", ratio("_spend", "baskets").alias("cost")
+    cost = stage(
+        spend.join(basket_count(lines), "cid").select(
+            "segmentationlabel", ratio("_spend", "baskets").alias("cost")
+        ),
+        "cost",
     )
     boxes = quartiles(cost, "segmentationlabel", "cost")
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    inside = attach(cost, boxes, ["segmentationlabel"]).filter(
+    # An unknown segment is one of its own: filled values and a flag stand for it in the join.
+    named = {
+        "_segment": F.coalesce("segmentationlabel", F.lit("")),
+        "_known": F.col("segmentationlabel").isNotNull(),
+    }
+    rows = cost.withColumns(named)
+    boxes = boxes.withColumns(named).drop("segmentationlabel")
+    inside = attach(rows, boxes, list(named), sizes=Sizes(rows, staged=True)).filter(
         F.col("cost").between(F.col("q1") - reach, F.col("q3") + reach)
     )
     return inside.groupBy("segmentationlabel").agg(

@@ -20,7 +20,7 @@ from repeatbuy.functions.fixed import CLASS_GROUPS, ITEM, Grain
 from repeatbuy.functions.skew import Sizes, attach, ordered
 from repeatbuy.operators.holdout import gap_lines
 from repeatbuy.operators.outliers import ksigma_filter
-from repeatbuy.operators.timeline import last_per_group
+from repeatbuy.operators.timeline import BASKET_ORDER
 
 # --- customer ------------------------------------------------------------------------------
 
@@ -170,12 +170,14 @@ def reduced_class_features(
 RATE_NAMES = {"iid": "u_p", "catid": "u_t", "classid": "u_c"}
 
 
-def pair_order_rate(history: DataFrame, key: str) -> DataFrame:
+def pair_order_rate(
+    history: DataFrame, key: str, sizes: Sizes | None = None
+) -> DataFrame:
     """Lines of the pair divided by all lines of the customer."""
     pairs = history.groupBy("cid", key).agg(F.count("*").alias("_lines"))
     users = history.groupBy("cid").agg(F.count("*").alias("_all"))
     name = f"{RATE_NAMES[key]}_order_rate"
-    return attach(pairs, users, ["cid"], "inner", Sizes(history)).select(
+    return attach(pairs, users, ["cid"], "inner", sizes or Sizes(history)).select(
         "cid", key, ratio("_lines", "_all").alias(name)
     )
 
@@ -254,6 +256,12 @@ def pair_columns(key: str, flag: str, level: int) -> list[Column]:
     ]
 
 
+def last_columns(*columns: str) -> list[Column]:
+    """The columns of a group's latest row, as ``timeline.last_per_group``."""
+    latest = F.max(F.struct(*dict.fromkeys([*BASKET_ORDER, *columns])))
+    return [latest[c].alias(c) for c in columns]
+
+
 def pair_summary(lines: DataFrame, key: str, flag: str, level: int) -> DataFrame:
     """Everything a plain group-by gives about (customer, key) in the history of a level."""
     history = lines.filter(F.col("from_last") > level)
@@ -266,18 +274,20 @@ def label_gap_share(level: int) -> Column:
     return ratio(F.count_if(gap == F.col(f"label_gap_{level}")), F.count(gap))
 
 
-def user_product_features(lines: DataFrame, walk: DataFrame, level: int) -> DataFrame:
+def user_product_features(
+    lines: DataFrame, walk: DataFrame, level: int, sizes: Sizes | None = None
+) -> DataFrame:
     """Pair features at item grain; ``walk`` is the streak walk of (customer, item); 
     since-last of the item's category and class come by key."""
     history = lines.filter(F.col("from_last") > level)
     out = (
-        pair_summary(lines, "iid", "reordered", level)
+        history.groupBy("cid", "iid")
+        .agg(*pair_columns("iid", "reordered", level), *last_columns("catid", "classid"))
         .join(max_streak(walk, ["cid", "iid"], level, "max_streak"), ["cid", "iid"])
-        .join(last_per_group(history, ["cid", "iid"], ["catid", "classid"]), ["cid", "iid"])
         .drop(GAP_NAMES[("cid", "iid")])
     )
     users = history.groupBy("cid").agg(F.count("*").alias("_all"))
-    sizes = Sizes(history)
+    sizes = sizes or Sizes(history)
     out = attach(out, users, ["cid"], "inner", sizes)
     for key in ("catid", "classid"):
         out = attach(out, orders_since_last(lines, key, level), ["cid", key], "inner", sizes)
@@ -288,21 +298,21 @@ def user_product_features(lines: DataFrame, walk: DataFrame, level: int) -> Data
 
 
 def user_cat_features(
-    lines: DataFrame, walk: DataFrame, level: int, by_class: bool = True
+    lines: DataFrame, walk: DataFrame, level: int, by_class: bool = True,
+    sizes: Sizes | None = None,
 ) -> DataFrame:
     """Pair features at category grain; ``by_class=False`` leaves the class distance out."""
     history = lines.filter(F.col("from_last") > level)
     out = (
-        pair_summary(lines, "catid", "cat_reordered", level)
+        history.groupBy("cid", "catid")
+        .agg(*pair_columns("catid", "cat_reordered", level), *last_columns("classid"))
         .join(max_streak(walk, ["cid", "catid"], level, "max_streak_cat"), ["cid", "catid"])
         .drop(GAP_NAMES[("cid", "catid")])
     )
     users = history.groupBy("cid").agg(F.count("*").alias("_all"))
-    sizes = Sizes(history)
+    sizes = sizes or Sizes(history)
     out = attach(out, users, ["cid"], "inner", sizes)
     if by_class:
-        latest = last_per_group(history, ["cid", "catid"], ["classid"])
-        out = out.join(latest, ["cid", "catid"])
         out = attach(
             out, orders_since_last(lines, "classid", level), ["cid", "classid"], "inner", sizes
         )

@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repeatbuy.functions.fixed import LABEL, Grain
-from repeatbuy.functions.skew import attach
+from repeatbuy.functions.skew import Sizes, attach
 
 
-def rebase_days(lines: DataFrame) -> DataFrame:
+def rebase_days(lines: DataFrame, sizes: Sizes | None = None) -> DataFrame:
     """Days counted back from the customer's newest line."""
     newest = lines.groupBy("cid").agg(F.min("days").alias("_newest"))
     return (
-        attach(lines, newest, ["cid"])
+        attach(lines, newest, ["cid"], sizes=sizes)
         .withColumn("days", F.col("days") - F.col("_newest"))
         .drop("_newest")
     )
@@ -87,13 +87,15 @@ def gap_lines(lines: DataFrame, level: int) -> DataFrame:
     )
 
 
-def context_columns(labels: DataFrame, baskets: DataFrame) -> DataFrame:
+def context_columns(
+    labels: DataFrame, baskets: DataFrame, sizes: Sizes | None = None
+) -> DataFrame:
     """Gap, weekday and date of the label basket on each label row; first baskets drop out."""
     context = baskets.filter(F.col("days_since_prior_order").isNotNull()).select(
         "cid", "bid", "days_since_prior_order",
         F.weekday("checkoutdate").alias("day_of_week"), "checkoutdate",
     )
-    return attach(labels, context, ["cid", "bid"])
+    return attach(labels, context, ["cid", "bid"], sizes=sizes)
 
 
 def customer_bucket(cid="cid"):

@@ -79,7 +79,8 @@ def remove_gap_outliers(
 
 
 def ksigma_filter(
-    rows: DataFrame, keys: list[str], value: str, k: float, keep_undefined_std: bool = False
+    rows: DataFrame, keys: list[str], value: str, k: float, keep_undefined_std: bool = False,
+    sizes: Sizes | None = None,
 ) -> DataFrame:
     """Rows up to mean + k sample deviations of their group.
 
@@ -91,10 +92,12 @@ def ksigma_filter(
     keep = (F.col("group_rows") == 1) | (F.col(value) <= limit)
     if keep_undefined_std:
         keep = keep | (F.col("group_std").isNull() & F.col(value).isNotNull())
-    return group_stats(rows, keys, value).filter(keep).select(*rows.columns)
+    return group_stats(rows, keys, value, sizes).filter(keep).select(*rows.columns)
 
 
-def gap_probe(timeline: DataFrame, otli: int = 60, least: int = 3) -> DataFrame:
+def gap_probe(
+    timeline: DataFrame, otli: int = 60, least: int = 3, sizes: Sizes | None = None
+) -> DataFrame:
     """Long gaps of customers with at least ``least`` of them, next to their mean and deviation."""
     gap = F.col("days_since_prior_order")
     stats = (
@@ -106,7 +109,7 @@ def gap_probe(timeline: DataFrame, otli: int = 60, least: int = 3) -> DataFrame:
         )
         .filter(F.col("long_gaps") >= least)
     )
-    return attach(timeline.filter(gap > otli), stats, ["cid"]).select(
+    return attach(timeline.filter(gap > otli), stats, ["cid"], sizes=sizes).select(
         "cid", "bid", "order_number", "total_orders", "long_gaps", "days_since_prior_order",
         "gap_avg", "gap_std", (gap - F.col("gap_avg")).alias("gap_minus_avg"),
     )

@@ -25,9 +25,9 @@ def first_checkout(lines: DataFrame, key: str, name: str) -> DataFrame:
     return lines.groupBy("cid", key).agg(F.min("checkoutdate").alias(name))
 
 
-def first_purchase(lines: DataFrame, key: str, name: str) -> DataFrame:
+def first_purchase(lines: DataFrame, key: str, name: str, sizes: Sizes | None = None) -> DataFrame:
     """The first checkout of the line's (customer, key), on each line."""
-    return attach(lines, first_checkout(lines, key, name), ["cid", key])
+    return attach(lines, first_checkout(lines, key, name), ["cid", key], sizes=sizes)
 
 
 def _flag(first: str) -> Column:
@@ -97,11 +97,11 @@ def basket_timeline(baskets: DataFrame) -> DataFrame:
     )
 
 
-def days_since_prior(lines: DataFrame) -> DataFrame:
+def days_since_prior(lines: DataFrame, sizes: Sizes | None = None) -> DataFrame:
     """Lines of every basket but the first, with the gap before the basket."""
     gaps = basket_gap(basket_rows(lines)).filter(F.col("days_since_prior_order").isNotNull())
     gaps = gaps.select("cid", "bid", F.col("days_since_prior_order").cast("int"))
-    return attach(lines, gaps, ["cid", "bid"])
+    return attach(lines, gaps, ["cid", "bid"], sizes=sizes)
 
 
 def holdout_columns(
@@ -182,11 +182,11 @@ def at_level(gapped: DataFrame, level: int) -> DataFrame:
     )
 
 
-def group_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+def group_stats(rows: DataFrame, keys: list[str], value: str, sizes: Sizes | None = None) -> DataFrame:
     """Mean, sample deviation and row count of the group, on every row."""
     stats = rows.groupBy(*keys).agg(
         F.avg(value).alias("group_mean"),
         F.stddev_samp(value).alias("group_std"),
         F.count("*").alias("group_rows"),
     )
-    return attach(rows, stats, keys)
+    return attach(rows, stats, keys, sizes=sizes)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repeatbuy.functions.fixed import CATEGORY_FEATURES, LABEL
+from repeatbuy.functions.skew import Sizes
 from repeatbuy.operators import features, holdout, prepare
 from repeatbuy.plans import inputs, orders
 from repeatbuy.plans.staging import stage
@@ -33,6 +34,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.fitted: dict[str, object] = {}  # models by kind
+        self._sizes: dict[str, Sizes] = {}
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -46,6 +48,13 @@ class Workspace:
     def category(self) -> orders.Orders:
         return orders.build_orders(orders.category_lines(self.raw), gaps=True)
 
+    def sizes(self, name: str) -> Sizes:
+        """Hot keys of a staged line table (raw, item or category), looked up once for all queries."""
+        if name not in self._sizes:
+            rows = self.raw if name == "raw" else getattr(self, name).lines
+            self._sizes[name] = Sizes(rows, staged=True)
+        return self._sizes[name]
+
     @cached_property
     def classes(self) -> DataFrame:
         return fixture.classes(self.spark, self.sf_dir)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from repeatbuy.functions.skew import ordered
-from repeatbuy.operators import clean, holdout
+from repeatbuy.operators import clean, explore, holdout
 
 
 def test_ordered_keeps_null_keys_and_chunks(spark):
@@ -26,3 +26,10 @@ def test_parent_name_of_repeated_class(spark):
     df = spark.createDataFrame(rows, "classid long, class_name string, primaryparentid long")
     got = {(r["class_name"], r["parent_name"]) for r in clean.parent_name(df).collect()}
     assert got == {("a", None), ("b", None), ("c", "a")}
+
+
+def test_cart_cost_keeps_customers_without_a_segment(spark):
+    rows = [(c, 10 * c + b, 100.0 * (c + b), "A" if c < 4 else None) for c in range(8) for b in range(2)]
+    lines = spark.createDataFrame(rows, "cid long, bid long, price double, segmentationlabel string")
+    got = {r["segmentationlabel"]: r["customers"] for r in explore.cart_cost_by_segment(lines).collect()}
+    assert got == {"A": 4, None: 4}
