@@ -10,20 +10,32 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from repeatbuy.llm.common import by_value, drawn, fold, map_slices
+from repeatbuy.llm.common import by_value, fold, map_slices
 
 by_value(__name__)
 
-LETTERS = re.compile(r"[^\W\d_]+")
+WORDS = re.compile(r"[^\W\d_]+")
 UNSEEN = -7.0  # log10 frequency where a language lacks a word or n-gram that another one has
 LONGEST = 5
-CACHED = 400_000
+CACHED = 400_000  # tokens whose scores a worker keeps, fewer with many languages
+CACHED_SCORES = 4 * CACHED
+KEPT = 4_500_000  # scores of a model, over all languages
+
+
+def letters(token: str) -> list[str]:
+    """Runs of letters: of characters that are letters by their Unicode category."""
+    found = WORDS.findall(token)
+    if all(map(str.isalpha, found)):
+        return found
+    # Numbers that aren't digits, such as a half, count among the characters of words above.
+    return ["".join(run) for word in found for alpha, run in groupby(word, str.isalpha) if alpha]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -36,23 +48,25 @@ def fit(
     sample_docs: int = 3000,
     max_words: int = 30_000,
     max_grams: int = 8_000,
-    max_langs: int = 64,
-) -> tuple[list[str], dict[str, list[float]]]:
+) -> tuple[list[str], dict[str, list[tuple[int, float]]]]:
     """Learn from ``text`` and ``lang`` of ``rows`` (null texts and languages take no part).
 
-    Bounds: about ``sample_docs`` rows of each of the ``max_langs`` most frequent languages; per
-    language the ``max_words`` most frequent words and ``max_grams`` n-grams of each length. So the
-    model is bounded and may be broadcast. No rows give an empty model.
+    Every language is learned. Bounds: about ``sample_docs`` rows of each; per language the
+    ``max_words`` most frequent words and ``max_grams`` n-grams of each length, fewer where all
+    languages together would pass KEPT scores. A word or n-gram holds its score in the languages that
+    have it, so the model is bounded and may be broadcast. To the driver comes a row per language and
+    score. No rows give an empty model.
     """
     rows = rows.filter("text is not null and lang is not null").select("doc_id", "text", "lang")
-    sizes = (
-        rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    )
-    chosen = F.lit(False)
-    for lang, size in sizes:
-        chosen = chosen | ((F.col("lang") == lang) & drawn("lang", sample_docs, size))
+    sizes = rows.groupBy("lang").count().collect()
+    part = min(1.0, KEPT / max(1, len(sizes) * (max_words + LONGEST * max_grams)))
+    max_words, max_grams = max(1, int(part * max_words)), max(1, int(part * max_grams))
+    shares = [(lang, min(1 << 62, sample_docs * (1 << 62) // size)) for lang, size in sizes]
+    shares = rows.sparkSession.createDataFrame(shares, "lang string, bound long")
+    place = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 62))
     counted = (
-        rows.filter(chosen)
+        rows.join(F.broadcast(shares), "lang")
+        .filter(place < F.col("bound"))
         .select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("gram"))
         .filter("gram != ''")
         .groupBy("lang", "gram")
@@ -81,18 +95,18 @@ def fit(
         .withColumn("share", F.col("n") / F.sum("n").over(per))
     )
     langs = sorted(r[0] for r in sizes)
-    place = {lang: i for i, lang in enumerate(langs)}
-    known: dict[str, list[float]] = {}
+    at = {lang: i for i, lang in enumerate(langs)}
+    known: dict[str, list[tuple[int, float]]] = {}
     for r in best.select("lang", "size", "gram", "share").toLocalIterator():
-        key = f"{r[1]}{r[2]}"
-        known.setdefault(key, [UNSEEN] * len(langs))[place[r[0]]] = float(np.log10(r[3]))
+        known.setdefault(f"{r[1]}{r[2]}", []).append((at[r[0]], float(np.log10(r[3]))))
     counted.unpersist()
     return langs, known
 
 
 class Scorer:
-    def __init__(self, langs: list[str], known: dict[str, list[float]]):
+    def __init__(self, langs: list[str], known: dict[str, list[tuple[int, float]]]):
         self.langs, self.known = langs, known
+        self.kept = max(1024, min(CACHED, CACHED_SCORES // max(len(langs), 1)))
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1024, len(langs)))
         self.counts = np.zeros(1024)
@@ -100,22 +114,28 @@ class Scorer:
     def word(self, word: str) -> np.ndarray:
         """The word's score in each language, by the longest kind of piece that is known."""
         if (found := self.known.get(f"0{word}")) is not None:
-            return np.asarray(found)
+            return self.scores(found)
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
             hits = [v for g in grams(word, n) if (v := self.known.get(f"{n}{g}")) is not None]
             if hits:
-                return np.mean(hits, axis=0)
-        return np.full(len(self.langs), UNSEEN)
+                return np.mean([self.scores(v) for v in hits], axis=0)
+        return self.scores([])
+
+    def scores(self, found: list[tuple[int, float]]) -> np.ndarray:
+        out = np.full(len(self.langs), UNSEEN)
+        for at, value in found:
+            out[at] = value
+        return out
 
     def row(self, token: str) -> int:
         """Row of a token between spaces: the sum over its words and their number."""
-        if len(self.rows) >= CACHED:
+        if len(self.rows) >= self.kept:
             self.rows.clear()
         at = self.rows[token] = len(self.rows)
         if at >= len(self.table):
             self.table = np.vstack([self.table, np.zeros_like(self.table)])
             self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-        found = LETTERS.findall(token)
+        found = letters(token)
         self.table[at] = sum((self.word(w) for w in found), np.zeros(len(self.langs)))
         self.counts[at] = len(found)
         return at
@@ -124,12 +144,12 @@ class Scorer:
         if text is None or not self.langs:
             return "und", 0.0
         seen = Counter(text.lower().split())
-        if len(self.rows) + len(seen) > CACHED:
+        if len(self.rows) + len(seen) > self.kept:
             self.rows.clear()
-        if len(seen) > CACHED:  # more kinds of words than the cache holds: word by word
+        if len(seen) > self.kept:  # more kinds of words than the cache holds: word by word
             total, n = np.zeros(len(self.langs)), 0
             for token, times in seen.items():
-                for w in LETTERS.findall(token):
+                for w in letters(token):
                     total, n = total + times * self.word(w), n + times
         else:
             at = np.fromiter(
@@ -146,7 +166,7 @@ class Scorer:
         return self.langs[best], float(1 / np.exp(mean - mean[best]).sum())
 
 
-def predict(docs: DataFrame, model: tuple[list[str], dict[str, list[float]]]) -> DataFrame:
+def predict(docs: DataFrame, model: tuple[list[str], dict[str, list[tuple[int, float]]]]) -> DataFrame:
     """doc_id, lang_pred and score (0 to 1, the share of the best language) of every row.
 
     Null texts, texts without a letter and an empty model give ``und`` with score 0; ties go to the

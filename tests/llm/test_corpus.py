@@ -139,7 +139,7 @@ def test_langid_held_out(docs):
 
 
 def test_langid_backs_off():
-    known = {"0the": [-1.0, -7.0], "2ch": [-7.0, -2.0], "1z": [-3.0, -4.0]}
+    known = {"0the": [(0, -1.0)], "2ch": [(1, -2.0)], "1z": [(0, -3.0), (1, -4.0)]}
     scorer = langid.Scorer(["en", "xx"], known)
     assert list(scorer.word("the")) == [-1.0, -7.0]
     assert list(scorer.word("ach")) == [-7.0, -2.0]
@@ -147,6 +147,27 @@ def test_langid_backs_off():
     assert scorer.predict("The the")[0] == "en" and scorer.predict("ach")[0] == "xx"
 
 
+def test_langid_learns_every_language(spark):
+    """More languages than any list of frequent ones would hold, each with words of its own."""
+    rng = random.Random(5)
+    rows = []
+    for lang in range(70):
+        own = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(30)]
+        rows += [(len(rows) + i, " ".join(rng.choices(own, k=40)), f"l{lang:02d}") for i in range(10 if lang < 69 else 3)]
+    found = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    want = {r[0]: r[2] for r in rows}
+    assert sum(r["lang_pred"] == want[r["doc_id"]] for r in found) >= len(rows) - 3
+    assert {r["lang_pred"] for r in found} == set(want.values())
+
+
+def test_langid_letters(spark):
+    assert langid.letters("ab½c²①x_9é") == ["ab", "c", "x", "é"]
+    rows = [(i, "some words here", "en") for i in range(8)] + [(100, "½ ² ①", "en"), (101, "²words½", "en")]
+    found = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in found.collect()}
+    assert got[100] == ("und", 0.0) and got[101] == ("en", 1.0)
+
+
 def test_langid_odd(odd, empty):
     got = {(r.doc_id, r.lang_pred) for r in langid.identify(odd).collect()}
     assert {(1, "und"), (2, "und"), (3, "und"), (4, "en")} <= got
