@@ -26,7 +26,6 @@ by_value(__name__)
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 CACHED = 800_000
-ONE = (1,)
 CACHED_CHARS = 64
 
 
@@ -69,15 +68,15 @@ class Codec:
         self.raw: dict[str, bytes] = model.setdefault("raw", {})
         if not self.raw:
             self.raw.update((p, array("i", [i]).tobytes()) for p, (_, i) in self.plain.items())
-        self.sizes: dict[str, tuple[int, ...]] = model.setdefault("sizes", {})
-        if not self.sizes:  # by an end of up to four characters: sizes of pieces, longest first
-            found: dict[str, set[int]] = {}
+        # Pieces of two characters or more by their characters from the end on; "" holds the piece.
+        self.ends: dict = model.setdefault("ends", {})
+        if not self.ends:
             for p in self.plain:
-                found.setdefault(p[-4:], set()).add(len(p))
-            ends = {e[-k:] for e in found for k in (2, 3, 4)}
-            for end in ends:
-                shorter = {k for k in (1, 2, 3) if k == 1 or (k <= len(end) and end[-k:] in self.plain)}
-                self.sizes[end] = (*sorted(found.get(end, set()) | shorter, reverse=True),)
+                if len(p) > 1:
+                    node = self.ends
+                    for c in reversed(p):
+                        node = node.setdefault(c, {})
+                    node[""] = p
         crosses = any(SPACE in p.lstrip(SPACE) for p in self.plain)
         self.chunk = re.compile(".+" if crosses else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", re.S)
 
@@ -150,7 +149,7 @@ class Codec:
 
     def pieces(self, chars: str) -> Iterator[list[str]]:
         """Pieces of a text in order, given out in lists once no path can change them."""
-        plain, pairs, holds, by_end = self.plain, self.pairs, self.holds, self.sizes
+        pairs, holds, ends_in = self.pairs, self.holds, self.ends.get
         base = done = 0  # border up to which pieces are out, and up to which prefixes are searched
         last = [""]  # last piece of each prefix from base on; empty: no path
         ends = len(chars)
@@ -160,25 +159,26 @@ class Codec:
             for i in range(done + 1, stop + 1):
                 found = ""
                 room = i - base
-                start = i - 4 if i > 4 else 0
-                for k in (
-                    by_end.get(chars[start:i])
-                    or by_end.get(chars[max(i - 3, 0) : i])
-                    or by_end.get(chars[max(i - 2, 0) : i], ONE)
-                ):
-                    if k > room:
-                        continue
+                char = chars[i - 1]
+                node, at = ends_in(char), i - 1
+                fitting = [char]  # a character is a piece, known or not
+                while node is not None and at > base:
+                    at -= 1
+                    node = node.get(chars[at])
+                    if node is not None and "" in node:
+                        fitting.append(node[""])
+                while fitting:  # the longest first
+                    piece = fitting.pop()
+                    k = len(piece)
                     left = last[room - k]
                     if left or k == room:
-                        piece = chars[i - k : i]
-                        if k < 5 or piece in plain:
-                            known = pairs.get(left)
-                            hit = None if known is None else known.get(piece)
-                            if hit is None:
-                                hit = holds(left, piece)
-                            if hit:
-                                found = piece
-                                break
+                        known = pairs.get(left)
+                        hit = None if known is None else known.get(piece)
+                        if hit is None:
+                            hit = holds(left, piece)
+                        if hit:
+                            found = piece
+                            break
                 last.append(found)
             done = stop
             if done < ends:
