@@ -114,18 +114,20 @@ class Scorer:
     def word(self, word: str) -> np.ndarray:
         """The word's score in each language, by the longest kind of piece that is known."""
         if (found := self.known.get(f"0{word}")) is not None:
-            return self.scores(found)
+            return self.scores([found])
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
             hits = [v for g in grams(word, n) if (v := self.known.get(f"{n}{g}")) is not None]
             if hits:
-                return np.mean([self.scores(v) for v in hits], axis=0)
-        return self.scores([])
-
-    def scores(self, found: list[tuple[int, float]]) -> np.ndarray:
-        out = np.full(len(self.langs), UNSEEN)
-        for at, value in found:
-            out[at] = value
-        return out
+                return self.scores(hits)
+        return self.scores([[]])
+
+    def scores(self, hits: list[list[tuple[int, float]]]) -> np.ndarray:
+        """Mean over the hits; a language that lacks one counts UNSEEN there."""
+        out = [UNSEEN * len(hits)] * len(self.langs)
+        for found in hits:
+            for at, value in found:
+                out[at] += value - UNSEEN
+        return np.array(out) / len(hits)
 
     def row(self, token: str) -> int:
         """Row of a token between spaces: the sum over its words and their number."""
