@@ -243,6 +243,19 @@ def test_toxicity_held_out(docs, labels):
     assert sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.9
 
 
+def test_toxicity_learns_from_every_row(spark):
+    rng = random.Random(4)
+    own = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    rows = [(i, f"{own()} {own()} {own()}", None, i % 2) for i in range(7000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, label int")
+    net, limits = toxicity.fit(df.repartition(3))
+    found = toxicity.score(df, (net, limits)).join(df, "doc_id").collect()
+    # Words that occur once each tell a row's label to those only who have read that row.
+    assert sum((r.score >= 0.5) == r.label for r in found) / len(found) > 0.95
+    again, same = toxicity.fit(df.repartition(5))
+    assert same == limits and (again.words == net.words).all() and (again.taps == net.taps).all()
+
+
 def test_quality_sums_of_many_words_equal_each_words_features(texts):
     model = quality.np.random.default_rng(0).normal(size=quality.BUCKETS + 1)
     found = {w for t in list(texts.values())[:50] for w in quality.words(t)}
