@@ -36,7 +36,8 @@ CHUNK = 16_384  # words of a text that are convolved at once
 EDGES = b".,;:!?\"'()[]*#$%&|<>-"
 ROUNDS = 12  # over all rows, at most
 DONE = 0.001  # mean loss at which training ends
-FINE, COARSE = 1 << 24, 1 << 14  # parts of one that gradients are rounded to
+FINE, PULL, TAP = 1 << 24, 1 << 12, 1 << 8  # parts of one that sums are rounded to
+BITS = 1 << 24  # of the map of labelled ids
 GRID = np.arange(0.1, 0.95, 0.05)
 
 
@@ -211,7 +212,7 @@ def gradients(rows: DataFrame, net: Net) -> dict[str, np.ndarray]:
             err = p - label
             active = act[:, TAPS[:, 0]] > 0
             pull = err[:, None] * active
-            whole = np.rint(pull * COARSE).astype(np.int64)
+            whole = np.rint(pull * PULL).astype(np.int64)
             flat = at * len(TAPS) + np.arange(len(TAPS))[:, None]
             np.add.at(pulls.reshape(-1), flat.reshape(-1), np.repeat(whole.reshape(-1), 3))
             taps[:] += np.rint((pull * net.out[TAPS[:, 0]])[:, :, None] * under * FINE).astype(np.int64).sum(axis=0)
@@ -225,7 +226,7 @@ def gradients(rows: DataFrame, net: Net) -> dict[str, np.ndarray]:
                 rest[a:b] += np.rint(found * FINE).astype(np.int64).sum(axis=0)
 
         def result():
-            by = np.rint(net.out[TAPS[:, 0]][:, None] * net.taps * COARSE).astype(np.int64)
+            by = np.rint(net.out[TAPS[:, 0]][:, None] * net.taps * TAP).astype(np.int64)
             return np.vstack([pulls[:BUCKETS] @ by, taps, rest.reshape(-1, DIM)])
 
         return step, result
@@ -234,7 +235,7 @@ def gradients(rows: DataFrame, net: Net) -> dict[str, np.ndarray]:
     shared.destroy()
     rest = total[BUCKETS + len(TAPS) :].reshape(-1) / FINE
     return {
-        "words": total[:BUCKETS] / COARSE**2,
+        "words": total[:BUCKETS] / (PULL * TAP),
         "taps": total[BUCKETS : BUCKETS + len(TAPS)] / FINE,
         "loss": rest[0],
         "head": rest[1 : SIDE + 2],
@@ -346,9 +347,22 @@ def score(docs: DataFrame, model: tuple[Net, dict] | None) -> DataFrame:
     return map_slices(rows, make, "doc_id long, score double, flagged boolean")
 
 
+def maybe_labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without most of the rows that have no label, so that a join with ``labels`` moves
+    fewer texts; none with a label is lost. The labels' ids set bits of a map of fixed size."""
+    ids = labels.filter("doc_id is not null").select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BITS)).alias("bit"))
+    bits = ids.groupBy(F.expr("bit div 64").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("set")
+    )
+    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BITS))
+    marked = docs.withColumn("bit", bit).withColumn("word", F.expr("bit div 64")).join(F.broadcast(bits), "word")
+    return marked.filter("shiftright(set, cast(bit % 64 as int)) & 1 = 1").drop("bit", "word", "set")
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn toxicity from the labelled rows outside fold 2 of 4 and score all rows."""
-    rows = labelled(docs, labels, "toxic", 4, 2, extra=("lang",))
+    # Labels grow with the documents: no plan that ships them whole.
+    rows = labelled(maybe_labelled(docs, labels), labels.hint("merge"), "toxic", 4, 2, extra=("lang",))
     return score(docs, fit(rows)).select(
         "doc_id",
         F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"),
