@@ -12,6 +12,7 @@ again block by block, and only links found leave a task.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ LEAST = 75  # percent
 AGREE = 76
 BLOCK = 1024  # members of a key, of some 170 bytes, that meet as many others in one task
 CELL = 128
+BUNDLE = 100_000  # ids, a few MB, whose links a task joins at once
 CACHED = 500_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 FACTORS = np.array(
@@ -170,36 +172,75 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_slices(pairs.join(left, "a").join(right, "b"), make, "a long, b long", 64)
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Links (a, b), b the smallest id that a is linked with by the links of its bundle.
+
+    A bundle is what a task reads until it knows ``BUNDLE`` ids.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        above: dict[int, int] = {}
+
+        def top(x):
+            root = x
+            while root in above:
+                root = above[root]
+            while x != root:
+                above[x], x = root, above[x]
+            return root
+
+        def stars():
+            return pa.RecordBatch.from_pydict({"a": list(above), "b": [top(x) for x in list(above)]}, schema=schema)
+
+        for batch in batches:
+            for one, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                one, other = top(one), top(other)
+                if one != other:
+                    above[max(one, other)] = min(one, other)
+                    if len(above) > BUNDLE:
+                        yield stars()
+                        above.clear()
+        yield stars()
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
+def are_stars(edges: DataFrame) -> bool:
+    """Whether no id has two smaller ones, or a smaller one and a larger one."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    seen = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.filter("up + down > 1").isEmpty()
+
+
+def star_steps(edges: DataFrame) -> DataFrame:
+    """Every node ties its larger neighbours, then its smaller ones, to its smallest neighbour."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    smallest = large.groupBy("a").agg(F.min("b").alias("m"))
+    small = large.join(smallest, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return small.unionByName(smallest.select("a", F.col("m").alias("b"))).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id of the component of every id in links (a, b).
 
-    Alternates two star steps: every node ties its larger neighbours, then its smaller ones, to its
-    smallest neighbour, until nothing changes. Stars of all nodes are made by joins and minima.
+    Tasks join the links they hold, bundle by bundle. Where there are several bundles, two star steps
+    follow, made by joins and minima, until all components are stars.
     """
-    edges = stage(
-        links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .filter("a != b")
-        .distinct(),
-        "edges",
-    )
-    state = None
+    greater, lesser = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+    edges = stage(links.select(greater, lesser).filter("a != b"), "edges")
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a != b").distinct()
-        smallest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(smallest, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        tied = smallest.select("a", F.col("m").alias("b"))
-        edges = stage(small.unionByName(tied).distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if now == state:
+        one = edges.count() <= BUNDLE
+        edges = stage(contracted(edges.coalesce(1) if one else edges), "edges")
+        if one or are_stars(edges):
             break
-        state = now
-    tied = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
-    return tied.unionByName(
-        edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    )
+        edges = stage(star_steps(edges), "edges")
+    tied = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return tied.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
 def open_components(rows: DataFrame) -> DataFrame:
@@ -273,12 +314,10 @@ def linked_components(pairs: DataFrame, members: DataFrame, sets: DataFrame) ->
             F.least("ma", "mb").alias("guests"),
         )
     )
-    blocks = stage(
-        hosted.groupBy("host").agg(
-            F.ceil(F.max("hosts") / CELL).cast("int").alias("hb"),
-            F.ceil(F.sum("guests") / CELL).cast("int").alias("gb"),
-        ),
-        "hosts",
+    hosted = stage(hosted, "hosts")
+    blocks = hosted.groupBy("host").agg(
+        F.ceil(F.max("hosts") / CELL).cast("int").alias("hb"),
+        F.ceil(F.sum("guests") / CELL).cast("int").alias("gb"),
     )
     guests = hosted.select("host", "component").join(members, "component").select("host", "id", F.lit(True).alias("guest"))
     hosts = blocks.select("host").join(members, F.col("host") == F.col("component"))
@@ -367,19 +406,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .filter("lo < hi and m > 2")
         .select("key")
     )
-    rest = stage(marked.join(open_keys, "key", "left_semi"), "open")
-    rest = rest.join(reps.select(F.col("doc_id").alias("id"), "bytes").dropDuplicates(["id"]), "id")
-    members = rest.select("id", "component").distinct()
+    signs = reps.select(F.col("doc_id").alias("id"), "bytes").dropDuplicates(["id"])
+    rest = stage(marked.join(open_keys, "key", "left_semi").join(signs, "id"), "open")
+    members = stage(rest.select("id", "component").distinct(), "members")
     more = stage(linked_components(open_components(rest), members, sets), "links")
-    again = (
-        more.join(first.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
-        .join(first.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-        .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    )
-    second = components(again)
-    names = first.join(second.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left")
-    names = names.select("id", F.coalesce("top", "component").alias("component"))
-    names = names.unionByName(second.join(first, "id", "left_anti"))
+    names = first
+    if not more.isEmpty():
+        names = components(more.unionByName(first.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
     named = (
         groups.join(names.select(F.col("id").alias("rep"), "component"), "rep", "left")

@@ -414,6 +414,39 @@ def test_near_duplicates_chains_and_hot_groups(spark, monkeypatch):
     check_near(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts)
 
 
+def test_near_duplicates_take_few_jobs(spark, docs):
+    """Each job, with its plans, costs the driver memory."""
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    neardup.near_duplicates(docs).collect()
+    assert jobs() - before <= 64
+
+
+@pytest.mark.parametrize("bundle", [3, 1000])
+def test_components_of_few_and_many_bundles(spark, monkeypatch, bundle):
+    monkeypatch.setattr(neardup, "BUNDLE", bundle)
+    rng = random.Random(5)
+    name = rng.sample(range(-(1 << 40), 1 << 40), 260)
+    links = [(i, i + 1) for i in range(99)] + [(100, i) for i in range(101, 180)] + [(i, i) for i in range(180, 190)]
+    links += [(rng.randrange(190, 260), rng.randrange(190, 260)) for _ in range(60)]
+    links = [rng.sample((name[a], name[b]), 2) for a, b in links + rng.choices(links, k=40)]
+    rng.shuffle(links)
+    parent = {}
+
+    def find(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        if a != b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    got = neardup.components(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()
+    assert len(got) == len(parent) and dict(map(tuple, got)) == {i: find(i) for i in parent}
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_near_duplicates_odd(odd, empty):
     got = defaultdict(list)
     for r in neardup.near_duplicates(odd).collect():
