@@ -6,7 +6,8 @@ holds pair by pair. So the search keeps, for every prefix, the last piece of its
 and extends it by a piece whose pair with that last one holds. Only a window of the longest piece is
 looked at; when the paths of all prefixes in the window meet at one border, the ids before it are
 final, are given out and forgotten. No piece crosses from a letter into a space mark, so all paths
-meet before every space, and words found before are read from a bounded cache.
+meet before every space, and words found before are read from a bounded cache. What the search finds
+for a prefix hangs on the prefix alone, so words that start alike share their first steps.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 CACHED = 800_000
 CACHED_CHARS = 64
+HEAD = 8  # characters of a chunk's start whose search is kept for other chunks
+HEADS = 500_000
 
 
 def load(path: str = MODEL) -> dict:
@@ -65,6 +68,7 @@ class Codec:
         self.split: dict[str, tuple[str, ...]] = model.setdefault("split", {})
         self.known: dict[str, bytes] = model.setdefault("known", {})
         self.older: dict[str, bytes] = model.setdefault("older", {})
+        self.heads: dict[str, str] = model.setdefault("heads", {})  # last piece by prefix
         self.raw: dict[str, bytes] = model.setdefault("raw", {})
         if not self.raw:
             self.raw.update((p, array("i", [i]).tobytes()) for p, (_, i) in self.plain.items())
@@ -154,6 +158,13 @@ class Codec:
         last = [""]  # last piece of each prefix from base on; empty: no path
         ends = len(chars)
         look = 4 * self.longest
+        head, heads = min(HEAD, ends, look), self.heads
+        while done < head and (found := heads.get(chars[: done + 1])) is not None:
+            last.append(found)
+            done += 1
+        if done < head and len(heads) >= HEADS:
+            heads.clear()
+        fresh = range(done + 1, head + 1)
         while done < ends:
             stop = min(base + look, ends)
             for i in range(done + 1, stop + 1):
@@ -181,6 +192,9 @@ class Codec:
                             break
                 last.append(found)
             done = stop
+            for i in fresh:
+                heads[chars[:i]] = last[i]
+            fresh = ()
             if done < ends:
                 border = self.meeting(last, done - base)
                 if border > 1:

@@ -336,6 +336,30 @@ def test_pieces_equal_library(texts):
         assert codec.decode(ids) == text
 
 
+def test_pieces_words_that_start_alike_share_steps(texts, monkeypatch):
+    import sentencepiece
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            self.asked += 1
+            return super().get(*args)
+
+    codec = pieces.Codec(pieces.load())
+    codec.ends = Counted(codec.ends)
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    found = ["internet", "internal", "internally", "international", "inter", "in", "i"]
+    assert [codec.encode(w) for w in found] == [library.encode(w) for w in found]
+    assert codec.ends.asked < 30  # of 53 characters with space marks
+
+    monkeypatch.setattr(pieces, "HEADS", 40)  # forgotten again and again
+    codec = pieces.Codec(pieces.load())
+    for text in list(texts.values())[:40]:
+        assert codec.encode(text) == (None if text is None else library.encode(text))
+    assert len(codec.heads) < 40 + pieces.HEAD
+
+
 def test_pieces_rows(spark, odd, empty):
     got = pieces.encode(odd)
     assert [r.lossless for r in got.collect()].count(False) == 0 and got.count() == len(ODD)
