@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from sys import getsizeof
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,10 +27,12 @@ by_value(__name__)
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHED = 800_000
+CACHED = 800_000  # pairs
 CACHED_CHARS = 64
+ROOM = 80 << 20  # bytes of the chunks kept with their ids, however long these are
+SLOT = 48  # bytes of an entry beside its key and value
 HEAD = 8  # characters of a chunk's start whose search is kept for other chunks
-HEADS = 500_000
+HEADS = 200_000
 
 
 def load(path: str = MODEL) -> dict:
@@ -66,12 +69,15 @@ class Codec:
         self.pairs: dict[str, dict[str, bool]] = model.setdefault("pairs", {})  # by left, by right piece
         self.tested = sum(map(len, self.pairs.values()))
         self.split: dict[str, tuple[str, ...]] = model.setdefault("split", {})
+        self.model = model
         self.known: dict[str, bytes] = model.setdefault("known", {})
         self.older: dict[str, bytes] = model.setdefault("older", {})
+        self.used = sum(getsizeof(c) + getsizeof(ids) + SLOT for c, ids in self.known.items())
         self.heads: dict[str, str] = model.setdefault("heads", {})  # last piece by prefix
+        self.code = "H" if len(self.text) <= 1 << 16 else "i"  # of packed ids, for array and numpy
         self.raw: dict[str, bytes] = model.setdefault("raw", {})
         if not self.raw:
-            self.raw.update((p, array("i", [i]).tobytes()) for p, (_, i) in self.plain.items())
+            self.raw.update((p, array(self.code, [i]).tobytes()) for p, (_, i) in self.plain.items())
         # Pieces of two characters or more by their characters from the end on; "" holds the piece.
         self.ends: dict = model.setdefault("ends", {})
         if not self.ends:
@@ -82,7 +88,8 @@ class Codec:
                         node = node.setdefault(c, {})
                     node[""] = p
         crosses = any(SPACE in p.lstrip(SPACE) for p in self.plain)
-        self.chunk = re.compile(".+" if crosses else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", re.S)
+        # Spaces stand for space marks until a chunk is searched: plain words are kept in half the room.
+        self.chunk = re.compile(".+" if crosses else f"[ {SPACE}]+[^ {SPACE}]*|[^ {SPACE}]+", re.S)
 
     def holds(self, left: str, right: str) -> bool:
         """Whether merging the two pieces' characters by rank ends in just these two pieces."""
@@ -223,42 +230,46 @@ class Codec:
         return out[::-1]
 
     def ids(self, piece: str) -> bytes:
-        """Ids of a piece as 32-bit numbers."""
+        """Packed ids of a piece."""
         found = self.plain.get(piece)
         if found is not None:
-            return array("i", [found[1]]).tobytes()
+            return array(self.code, [found[1]]).tobytes()
         if self.bytes:
-            return array("i", [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]).tobytes()
-        return array("i", [self.unknown]).tobytes()
+            return array(self.code, [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]).tobytes()
+        return array(self.code, [self.unknown]).tobytes()
 
     def searched(self, chunk: str) -> bytes:
-        """Ids of a chunk; short chunks go to the cache, whose older half is forgotten when full."""
+        """Packed ids of a chunk; short chunks go to the cache, whose older half is forgotten when full."""
+        hit = self.known.get(chunk)  # found since the text's chunks were looked up
+        if hit is not None:
+            return hit
         hit = self.older.get(chunk)
         if hit is None:
             raw = self.raw
             out = []
-            for pieces in self.pieces(chunk):
+            for pieces in self.pieces(chunk.replace(" ", SPACE)):
                 for piece in pieces:
                     out.append(raw.get(piece) or self.ids(piece))
             hit = b"".join(out)
         if len(chunk) <= CACHED_CHARS:
-            if len(self.known) >= CACHED // 2:
-                self.older.clear()
-                self.older.update(self.known)
-                self.known.clear()
+            if self.used >= ROOM // 2:
+                self.older = self.model["older"] = self.known
+                self.known = self.model["known"] = {}
+                self.used = 0
             self.known[chunk] = hit
+            self.used += getsizeof(chunk) + getsizeof(hit) + SLOT
         return hit
 
-    def packed(self, text: str) -> bytes:
+    def packed(self, text: str) -> np.ndarray:
         """Ids of a text as 32-bit numbers."""
-        chunks = self.chunk.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        chunks = self.chunk.findall(" " + text) if text else []
         out = list(map(self.known.get, chunks))
         if None in out:
             out = [self.searched(c) if hit is None else hit for hit, c in zip(out, chunks)]
-        return b"".join(out)
+        return np.frombuffer(b"".join(out), self.code).astype(np.int32)
 
     def encode(self, text: str | None) -> list[int] | None:
-        return None if text is None else np.frombuffer(self.packed(text), np.int32).tolist()
+        return None if text is None else self.packed(text).tolist()
 
     def decode(self, ids: list[int] | None) -> str | None:
         if ids is None:
@@ -279,7 +290,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
         codec = Codec(shared.value)
 
         def step(cols):
-            ids = [None if t is None else np.frombuffer(codec.packed(t), np.int32) for t in cols["text"]]
+            ids = [None if t is None else codec.packed(t) for t in cols["text"]]
             back = [None if i is None else codec.decode(i.tolist()) for i in ids]
             return {
                 "doc_id": cols["doc_id"],

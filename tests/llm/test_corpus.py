@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -360,6 +362,43 @@ def test_pieces_words_that_start_alike_share_steps(texts, monkeypatch):
     assert len(codec.heads) < 40 + pieces.HEAD
 
 
+def test_pieces_cache_is_bounded_by_room(monkeypatch):
+    """Long words of rare characters take ten times the room of plain ones, so their number is no bound."""
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "ROOM", 200_000)
+    codec = pieces.Codec(pieces.load())
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(3)
+    for k in range(60):
+        text = " ".join("".join(rng.choices("ainteros😀語é", k=60)) for _ in range(20)) + f" word {k}"
+        assert codec.encode(text) == library.encode(text)
+        held = [*codec.known.items(), *codec.older.items()]
+        assert sum(map(sys.getsizeof, itertools.chain(*held))) <= 200_000
+        codec = pieces.Codec(codec.model)  # the next task
+    assert codec.known and codec.older
+
+
+def test_pieces_new_words_of_a_text_are_searched_once():
+    codec = pieces.Codec(pieces.load())
+    asked, search = [], codec.pieces
+    codec.pieces = lambda chars: asked.append(chars) or search(chars)
+    ids = codec.encode("qwzx qwzx\u2581qwzx qwzx")
+    assert asked == ["\u2581qwzx"] * 2  # behind a space and behind a space mark
+    assert codec.decode(ids) == "qwzx qwzx qwzx qwzx"
+
+
+def test_pipeline_batches_are_short(spark, odd):
+    before = spark.conf.get(corpus_pipeline.BATCH_ROWS)
+    try:
+        for given, left in (("10000", "1000"), ("0", "1000"), ("7", "7")):
+            spark.conf.set(corpus_pipeline.BATCH_ROWS, given)
+            assert corpus_pipeline.encode_pieces(spark, odd, "").count() == len(ODD)
+            assert spark.conf.get(corpus_pipeline.BATCH_ROWS) == left
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH_ROWS, before)
+
+
 def test_pieces_rows(spark, odd, empty):
     got = pieces.encode(odd)
     assert [r.lossless for r in got.collect()].count(False) == 0 and got.count() == len(ODD)
