@@ -29,10 +29,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 CACHED = 800_000  # pairs
 CACHED_CHARS = 64
-ROOM = 80 << 20  # bytes of the chunks kept with their ids, however long these are
+ROOM = 96 << 20  # bytes of the chunks kept with their ids, however long these are
 SLOT = 48  # bytes of an entry beside its key and value
 HEAD = 8  # characters of a chunk's start whose search is kept for other chunks
-HEADS = 200_000
+HEADS = 300_000
 
 
 def load(path: str = MODEL) -> dict:
@@ -274,7 +274,7 @@ class Codec:
     def decode(self, ids: list[int] | None) -> str | None:
         if ids is None:
             return None
-        text = b"".join([self.text[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
         return text.replace(SPACE, " ").removeprefix(" ")
 
 
