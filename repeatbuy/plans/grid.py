@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repeatbuy.plans.inputs import model_input_stacked
-from repeatbuy.plans.orders import build_orders, popular_lines, rolled_lines
+from repeatbuy.plans.orders import build_orders, popular_lines, staged_rollup
 from repeatbuy.plans.staging import stage
 from repeatbuy.sources.tables import write_features
 
@@ -24,7 +24,7 @@ def parameter_grid(
     The rolled-up lines are shared by all runs, and the enriched lines by all ``ksigmas``.
     """
     spark = raw.sparkSession
-    rolled = stage(rolled_lines(raw, min_price), "rolled")
+    rolled = staged_rollup(raw, min_price)
     report, run = [], 0
     for otli, least in product(otlis, least_orders):
         orders = build_orders(popular_lines(rolled, least, rare_class, staged=True), True, otli)
