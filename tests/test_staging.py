@@ -33,7 +33,8 @@ def collected(df):
 
 def folders(spark, name):
     top = shared_folder(spark).removeprefix("file:")
-    return {p for p in glob.glob(f"{top}/repeatbuy/*/{name}-*") if glob.glob(f"{p}/*.parquet")}
+    own = f"{top}/repeatbuy/{spark.sparkContext.applicationId}"  # other sessions may share the folder
+    return {p for p in glob.glob(f"{own}/{name}-*") if glob.glob(f"{p}/*.parquet")}
 
 
 @pytest.fixture
